@@ -94,15 +94,14 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Put the views that ``body`` names, and those they name, in front of it."""
     views = {**VIEWS, **(extra or {})}
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in views:
-            if name not in order and re.search(rf"\b{name}\b", text):
-                if views[name] is text:
-                    continue
+            if name not in order and name not in open_ and re.search(rf"\b{name}\b", text):
+                open_.add(name)
                 visit(views[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:
