@@ -54,7 +54,7 @@ def scan_known_paths(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_share_list(spark: SparkSession, path: str) -> DataFrame:
     """(time, path, url, image, size, duration): records of six lines with blank lines between."""
-    parts = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\n"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\n"), lambda p: F.trim(p))
     return (
         spark.read.option("lineSep", "\n\n").text(path)
         .where(F.trim(F.regexp_replace("value", r"\s", "")) != "")

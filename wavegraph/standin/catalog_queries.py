@@ -393,7 +393,7 @@ def correlate_pages_lev(spark, sf):
 
 
 @query("correlation_summary", f"""SELECT count(*) AS total, count(b.page_id) AS matched, count(*) - count(b.page_id) AS failed,
-    round(count(b.page_id) / count(*), 6)::DOUBLE AS rate FROM page_all p LEFT JOIN ({_BEST}) b USING (page_id)""", V)
+    round(count(b.page_id) / count(*), 6)::DOUBLE AS rate FROM pages p LEFT JOIN ({_BEST}) b USING (page_id)""", V)
 def correlation_summary(spark, sf):
     best = _correlated(spark, sf, text.string_similarity_lev)
     out = correlate.correlation_summary(t.table(spark, sf, "pages"), best)
