@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wavegraph.functions.ids import clean_id, clean_label_name
 from wavegraph.functions.weights import inv_log_degree
 from wavegraph.operators.skew import hot_keys, salted_join
+from wavegraph.session import materialize
 
 DEFAULT_MAX_DEGREE = 1000
 
@@ -37,6 +38,14 @@ class Graph:
             self._hot[edges] = hot_keys(frame, *frame.columns)
         return self._hot[edges][key]
 
+    def stored(self, path: str) -> Graph:
+        """Write the edges below ``path`` and read them from there: queries then start from distinct edges."""
+        spark = self.contributed_to.sparkSession
+        names = ("contributed_to", "released_on", "produced_by")
+        for name in names:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        return Graph(*(spark.read.parquet(f"{path}/{name}") for name in names))
+
     def hop(self, few: DataFrame, edges: str, key: str) -> DataFrame:
         """Follow the named edges from the ``key`` column of ``few``."""
         return salted_join(few, getattr(self, edges), key, self.hot(edges, key))
@@ -81,10 +90,10 @@ def first_artists(graph: Graph, seeds: DataFrame) -> DataFrame:
     return edges.groupBy("release_id").agg(F.min("artist_id").alias("artist_id")).select("artist_id").distinct()
 
 
-def _own(graph: Graph, sources: DataFrame) -> DataFrame:
+def own_releases(graph: Graph, sources: DataFrame) -> DataFrame:
     """(source_id, release_id): the sources' own releases."""
     few = sources.select("artist_id").distinct()
-    return graph.hop(few, "contributed_to", "artist_id").withColumnRenamed("artist_id", "source_id")
+    return graph.hop(few, "contributed_to", "artist_id").select(F.col("artist_id").alias("source_id"), "release_id")
 
 
 def _via(own_hubs: DataFrame, hub: str) -> DataFrame:
@@ -96,11 +105,14 @@ def _via(own_hubs: DataFrame, hub: str) -> DataFrame:
 _ELSEWHERE = "lo <> hi OR release_id <> lo"
 
 
+def _met(graph: Graph, own: DataFrame) -> DataFrame:
+    met = graph.hop(own, "contributed_to", "release_id").withColumnRenamed("artist_id", "other_id")
+    return _via(met.where("other_id <> source_id"), "other_id")
+
+
 def co_contributors(graph: Graph, sources: DataFrame) -> DataFrame:
     """(source_id, other_id, lo, hi): who shares a release with a source."""
-    own = _own(graph, sources)
-    met = graph.hop(own, "contributed_to", "release_id").withColumnRenamed("artist_id", "other_id")
-    return _via(met.where(F.col("other_id") != F.col("source_id")), "other_id")
+    return _met(graph, own_releases(graph, sources))
 
 
 def similar_artists(graph: Graph, sources: DataFrame) -> DataFrame:
@@ -113,30 +125,35 @@ def _row(frame: DataFrame, weight, hops: int) -> DataFrame:
     return frame.select("source_id", "release_id", weight.alias("weight"), F.lit(hops).alias("hops"))
 
 
+def _several(graph: Graph, own: DataFrame) -> DataFrame:
+    counts = own.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("source_id")
+    return salted_join(counts, own, "source_id", graph.hot("contributed_to", "artist_id"))
+
+
 def hop_same_artist(graph: Graph, sources: DataFrame) -> DataFrame:
     """All releases of a source that has at least two. Weight 1.5, one hop."""
-    own = _own(graph, sources)
-    several = own.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("source_id")
-    few = several.withColumnRenamed("source_id", "artist_id")
-    again = graph.hop(few, "contributed_to", "artist_id").withColumnRenamed("artist_id", "source_id")
-    return _row(again, F.lit(1.5), 1)
+    return _row(_several(graph, own_releases(graph, sources)), F.lit(1.5), 1)
+
 
+def _reach_people(graph: Graph, own: DataFrame) -> DataFrame:
+    """(source_id, release_id, elsewhere): releases of those who share a release with the source.
 
-def _reach_shared(graph: Graph, sources: DataFrame) -> DataFrame:
-    """(source_id, release_id), distinct: releases of co-contributors, other than the shared one."""
-    others = co_contributors(graph, sources).withColumnRenamed("other_id", "artist_id")
-    reached = graph.hop(others, "contributed_to", "artist_id").where(_ELSEWHERE)
-    return reached.select("source_id", "release_id").distinct()
+    ``elsewhere`` tells if one of them leads there from another release than itself. One
+    expansion serves the three hops through people.
+    """
+    others = _met(graph, own).withColumnRenamed("other_id", "artist_id")
+    reached = graph.hop(others, "contributed_to", "artist_id")
+    return reached.groupBy("source_id", "release_id").agg(F.max(F.expr(_ELSEWHERE)).alias("elsewhere"))
 
 
 def hop_shared_contributor(graph: Graph, sources: DataFrame) -> DataFrame:
     """Other releases of those who share a release with the source. Weight 1, one hop."""
-    return _row(_reach_shared(graph, sources), F.lit(1.0), 1)
+    return _row(_reach_people(graph, own_releases(graph, sources)).where("elsewhere"), F.lit(1.0), 1)
 
 
 def hop_friend_of_friend(graph: Graph, sources: DataFrame, with_label: bool = False) -> DataFrame:
     """The same reach as two hops of weight 2; ``with_label`` gives one row per label of the release."""
-    reach = _reach_shared(graph, sources)
+    reach = _reach_people(graph, own_releases(graph, sources)).where("elsewhere")
     if with_label:
         reach = graph.hop(reach, "released_on", "release_id")
     return _row(reach, F.lit(2.0), 2)
@@ -144,63 +161,86 @@ def hop_friend_of_friend(graph: Graph, sources: DataFrame, with_label: bool = Fa
 
 def hop_similar_artist(graph: Graph, sources: DataFrame, with_label: bool = False) -> DataFrame:
     """All releases of similar artists. Weight 2.5, three hops."""
-    others = co_contributors(graph, sources).select("source_id", F.col("other_id").alias("artist_id"))
-    reach = graph.hop(others, "contributed_to", "artist_id").select("source_id", "release_id").distinct()
+    reach = _reach_people(graph, own_releases(graph, sources))
     if with_label:
         reach = graph.hop(reach, "released_on", "release_id")
     return _row(reach, F.lit(2.5), 3)
 
 
-def _hop_hub(graph: Graph, sources: DataFrame, edges: str, hub: str, max_degree: int) -> DataFrame:
-    """(source_id, release_id, hub, degree): releases at a shared hub that someone else worked on."""
-    links = getattr(graph, edges)
-    own = _own(graph, sources)
-    led = graph.hop(own, edges, "release_id")
-    hubs = _via(led, hub).join(filter_degree(links, hub, max_degree), hub)
-    reached = graph.hop(hubs, edges, hub).where(_ELSEWHERE)
+def _at_hub(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int) -> DataFrame:
+    """(source_id, release_id, degree): one row per hub that a source's release shares with another release."""
+    led = _via(graph.hop(own, edges, "release_id"), hub)
+    hubs = led.join(filter_degree(getattr(graph, edges), hub, max_degree), hub)
+    return graph.hop(hubs, edges, hub).where(_ELSEWHERE).select("source_id", "release_id", "degree")
+
+
+def _by_others(graph: Graph, reached: DataFrame) -> DataFrame:
+    """Rows (source_id, release_id, ...) whose release has a contributor other than the source."""
     people = graph.contributed_to.groupBy("release_id").agg(
         F.min("artist_id").alias("first_artist"), F.max("artist_id").alias("last_artist")
     )
-    return (
-        reached.join(people, "release_id")
-        .where((F.col("first_artist") != F.col("source_id")) | (F.col("last_artist") != F.col("source_id")))
-        .select("source_id", "release_id", hub, "degree")
-    )
+    kept = reached.join(people, "release_id").where("first_artist <> source_id OR last_artist <> source_id")
+    return kept.drop("first_artist", "last_artist")
+
+
+def _hub_rows(graph: Graph, reached: DataFrame) -> DataFrame:
+    return _row(_by_others(graph, reached), inv_log_degree(F.col("degree")), 2)
 
 
 def hop_label(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
     """Releases on a source's label, one row per label. Weight 1 / ln(label degree), two hops."""
-    found = _hop_hub(graph, sources, "released_on", "label_id", max_degree)
-    return _row(found, inv_log_degree(F.col("degree")), 2)
+    own = own_releases(graph, sources)
+    return _hub_rows(graph, _at_hub(graph, own, "released_on", "label_id", max_degree))
 
 
 def hop_producer(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
     """Releases by a producer of a source's releases, one row per producer."""
-    found = _hop_hub(graph, sources, "produced_by", "producer_id", max_degree)
-    return _row(found, inv_log_degree(F.col("degree")), 2)
+    own = own_releases(graph, sources)
+    return _hub_rows(graph, _at_hub(graph, own, "produced_by", "producer_id", max_degree))
 
 
-def all_hops(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
-    """The six hop queries, one after the other, repeats kept."""
-    return (
-        hop_shared_contributor(graph, sources)
-        .unionByName(hop_same_artist(graph, sources))
-        .unionByName(hop_label(graph, sources, max_degree))
-        .unionByName(hop_producer(graph, sources, max_degree))
-        .unionByName(hop_friend_of_friend(graph, sources))
-        .unionByName(hop_similar_artist(graph, sources))
+def _both_hubs(graph: Graph, own: DataFrame, max_degree: int) -> DataFrame:
+    return _hub_rows(
+        graph,
+        _at_hub(graph, own, "released_on", "label_id", max_degree).unionByName(
+            _at_hub(graph, own, "produced_by", "producer_id", max_degree)
+        ),
+    )
+
+
+def _weighed(weight: float, hops: int):
+    return F.struct(F.lit(weight).alias("weight"), F.lit(hops).alias("hops"))
+
+
+def _people_rows(reach: DataFrame, elsewhere: list, always: list) -> DataFrame:
+    """One row per (weight, hops): those of ``elsewhere`` where that holds, and those of ``always``."""
+    kinds = F.when(F.col("elsewhere"), F.array(*elsewhere, *always)).otherwise(
+        F.array(*always) if always else F.array().cast("array<struct<weight:double,hops:int>>")
     )
+    return reach.select("source_id", "release_id", F.explode(kinds).alias("k")).select("source_id", "release_id", "k.*")
+
+
+def all_hops(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
+    """The six hop queries, one after the other, repeats kept. The sources' own releases are stored once."""
+    own = materialize(own_releases(graph, sources))
+    people = _people_rows(_reach_people(graph, own), [_weighed(1.0, 1), _weighed(2.0, 2)], [_weighed(2.5, 3)])
+    return people.unionByName(_row(_several(graph, own), F.lit(1.5), 1)).unionByName(_both_hubs(graph, own, max_degree))
+
 
+def hops_to_depth(graph: Graph, own: DataFrame, depth: int, max_degree: int) -> DataFrame:
+    """Depth 1: people. Depth 2: labels and producers too. Depth 3: similar artists of labelled releases.
 
-def hops_to_depth(graph: Graph, sources: DataFrame, depth: int, max_degree: int) -> DataFrame:
-    """Depth 1: people. Depth 2: labels and producers too. Depth 3: similar artists of labelled releases."""
-    out = hop_same_artist(graph, sources).unionByName(hop_shared_contributor(graph, sources))
+    ``own`` are the sources' own releases.
+    """
+    reach = _reach_people(graph, own)
+    if depth >= 3:
+        reach = materialize(reach)
+    out = _people_rows(reach, [_weighed(1.0, 1)], []).unionByName(_row(_several(graph, own), F.lit(1.5), 1))
     if depth >= 2:
-        out = out.unionByName(hop_label(graph, sources, max_degree))
-        out = out.unionByName(hop_producer(graph, sources, max_degree))
+        out = out.unionByName(_both_hubs(graph, own, max_degree))
     if depth >= 3:
-        out = out.unionByName(hop_friend_of_friend(graph, sources, with_label=True))
-        out = out.unionByName(hop_similar_artist(graph, sources, with_label=True))
+        labelled = graph.hop(reach, "released_on", "release_id")
+        out = out.unionByName(_people_rows(labelled, [_weighed(2.0, 2)], [_weighed(2.5, 3)]))
     return out
 
 

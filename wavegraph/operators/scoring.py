@@ -10,16 +10,18 @@ from wavegraph.operators.graph import Graph, degree
 from wavegraph.operators.skew import salted_join
 
 
-def shared_contributors(graph: Graph, sources: DataFrame) -> DataFrame:
-    """(release_id, artist_id, degree): the sources' releases, that is, what each release shares with the seeds."""
-    few = degree(graph.contributed_to, "artist_id").join(sources.select("artist_id").distinct(), "artist_id")
-    return graph.hop(few, "contributed_to", "artist_id").select("release_id", "artist_id", "degree")
+def shared_contributors(graph: Graph, own: DataFrame) -> DataFrame:
+    """(release_id, artist_id, degree) from the sources' own releases: what each release shares with the seeds."""
+    degrees = own.groupBy("source_id").agg(F.count(F.lit(1)).alias("degree"))
+    return salted_join(degrees, own, "source_id", graph.hot("contributed_to", "artist_id")).select(
+        "release_id", F.col("source_id").alias("artist_id"), "degree"
+    )
 
 
-def overlap(graph: Graph, sources: DataFrame) -> DataFrame:
+def overlap(graph: Graph, own: DataFrame) -> DataFrame:
     """(release_id, adamic_adar, shared): per release, over the contributors it shares with the seeds."""
     return (
-        shared_contributors(graph, sources)
+        shared_contributors(graph, own)
         .groupBy("release_id")
         .agg(F.sum(damped_idf(F.col("degree"))).alias("adamic_adar"), F.count(F.lit(1)).alias("shared"))
     )
@@ -27,7 +29,8 @@ def overlap(graph: Graph, sources: DataFrame) -> DataFrame:
 
 def jaccard(graph: Graph, overlaps: DataFrame, n_sources: int) -> DataFrame:
     """Add ``jaccard`` = shared / size of the union of both contributor sets."""
-    sizes = degree(graph.contributed_to, "release_id").withColumnRenamed("degree", "own")
+    credits = graph.contributed_to.join(overlaps.select("release_id"), "release_id", "left_semi")
+    sizes = degree(credits, "release_id").withColumnRenamed("degree", "own")
     union_size = F.lit(n_sources) + F.col("own") - F.col("shared")
     return overlaps.join(sizes, "release_id").withColumn("jaccard", F.col("shared") / union_size).drop("own")
 
@@ -44,9 +47,9 @@ def predicted_score(adamic_adar, jaccard_, label_idf):
     return (adamic_adar * 10.0 + jaccard_ * 5.0) * (1.0 - 0.3 * (1.0 - label_idf))
 
 
-def score_candidates(graph: Graph, sources: DataFrame, candidates: DataFrame) -> DataFrame:
+def score_candidates(graph: Graph, own: DataFrame, n_sources: int, candidates: DataFrame) -> DataFrame:
     """Add adamic_adar, jaccard, label_idf, predicted_score (rounded to 4) and shared_contributors."""
-    scored = jaccard(graph, overlap(graph, sources), sources.select("artist_id").distinct().count())
+    scored = jaccard(graph, overlap(graph, own), n_sources)
     full = (
         candidates.join(scored, "release_id", "left")
         .join(mean_label_idf(graph), "release_id", "left")

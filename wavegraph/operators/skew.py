@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.01
 MIN_ROWS = 500_000
 SALTS = 64
+# The most rows of a few columns of numbers that are sent whole to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast of a narrow table whose counted ``rows`` are few; else the table, to be shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def hot_keys(df: DataFrame, *columns: str, share: float = HOT_SHARE, min_rows: int = MIN_ROWS) -> dict[str, list]:

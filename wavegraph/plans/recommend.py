@@ -10,6 +10,8 @@ from wavegraph.functions.weights import tag_score
 from wavegraph.operators import graph as g
 from wavegraph.operators.expand import traverse
 from wavegraph.operators.scoring import idf_weighting, label_propagation, score_candidates
+from wavegraph.operators.skew import small_side
+from wavegraph.session import materialize
 
 TOP_N = 20
 
@@ -33,11 +35,14 @@ def find_similar_releases(
     return top_per_source(near, top_n, "bacon_distance", "hops", "release_id")
 
 
-def reached_candidates(graph: g.Graph, sources: DataFrame, depth: int, max_degree: int) -> DataFrame:
+def reached_candidates(
+    graph: g.Graph, sources: DataFrame, n_sources: int, own: DataFrame, depth: int = 2,
+    max_degree: int = g.DEFAULT_MAX_DEGREE,
+) -> DataFrame:
     """(release_id, bacon_distance, hops, source_count) over all sources; a path counts once per seed of its source."""
-    hops = g.hops_to_depth(graph, sources, depth, max_degree)
-    weighed = hops.join(sources.select(F.col("artist_id").alias("source_id"), "seeds"), "source_id")
-    return weighed.groupBy("release_id").agg(
+    hops = g.hops_to_depth(graph, own, depth, max_degree)
+    counts = small_side(sources.select(F.col("artist_id").alias("source_id"), "seeds"), n_sources)
+    return hops.join(counts, "source_id").groupBy("release_id").agg(
         F.min("weight").alias("bacon_distance"), F.min("hops").alias("hops"), F.sum("seeds").alias("source_count")
     )
 
@@ -45,10 +50,15 @@ def reached_candidates(graph: g.Graph, sources: DataFrame, depth: int, max_degre
 def scored_recommendations(
     graph: g.Graph, seeds: DataFrame, depth: int = 2, max_degree: int = g.DEFAULT_MAX_DEGREE
 ) -> DataFrame:
-    """Every release within reach of the seeds' contributors, with all scores; seeds left out."""
-    sources = g.sources_of(graph, seeds)
-    reached = reached_candidates(graph, sources, depth, max_degree)
-    return score_candidates(graph, sources, g.exclude(reached, seeds))
+    """Every release within reach of the seeds' contributors, with all scores; seeds left out.
+
+    The sources and their own releases are read by every branch, so both are stored first.
+    """
+    sources = materialize(g.sources_of(graph, seeds))
+    n_sources = sources.count()
+    own = materialize(g.own_releases(graph, sources))
+    reached = reached_candidates(graph, sources, n_sources, own, depth, max_degree)
+    return score_candidates(graph, own, n_sources, g.exclude(reached, seeds))
 
 
 def aggregate_recommendations(

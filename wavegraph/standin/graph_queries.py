@@ -237,6 +237,10 @@ _OVERLAP = {
 }
 
 
+def _own(spark, sf):
+    return g.own_releases(t.graph(spark, sf), t.sources(spark, sf))
+
+
 def _scored(spark, sf, depth=2):
     return recommend.scored_recommendations(t.graph(spark, sf), t.seeds(spark, sf), depth).withColumn(
         "bacon_distance", F.round("bacon_distance", 4)
@@ -245,21 +249,22 @@ def _scored(spark, sf, depth=2):
 
 @query("source_count", "SELECT release_id, source_count, hops FROM reached", _OVERLAP)
 def source_count(spark, sf):
-    return recommend.reached_candidates(t.graph(spark, sf), t.sources(spark, sf), 2, 1000).select(
-        "release_id", "source_count", "hops"
-    )
+    graph, sources = t.graph(spark, sf), t.sources(spark, sf)
+    reached = recommend.reached_candidates(graph, sources, sources.count(), g.own_releases(graph, sources))
+    return reached.select("release_id", "source_count", "hops")
 
 
 @query("exclude_sources", "SELECT release_id FROM reached WHERE release_id NOT IN (SELECT release_id FROM seeds)", _OVERLAP)
 def exclude_sources(spark, sf):
-    reached = recommend.reached_candidates(t.graph(spark, sf), t.sources(spark, sf), 2, 1000)
+    graph, sources = t.graph(spark, sf), t.sources(spark, sf)
+    reached = recommend.reached_candidates(graph, sources, sources.count(), g.own_releases(graph, sources))
     return g.exclude(reached, t.seeds(spark, sf)).select("release_id")
 
 
 @query("shared_features", """SELECT release_id, artist_id, degree FROM contributed_to
     JOIN sources USING (artist_id) JOIN artist_degree USING (artist_id)""")
 def shared_features(spark, sf):
-    return scoring.shared_contributors(t.graph(spark, sf), t.sources(spark, sf))
+    return scoring.shared_contributors(t.graph(spark, sf), _own(spark, sf))
 
 
 @query("feature_union_size", """SELECT release_id, n + own - shared AS union_size
@@ -268,14 +273,14 @@ def feature_union_size(spark, sf):
     graph, sources = t.graph(spark, sf), t.sources(spark, sf)
     n = sources.count()
     own = g.degree(graph.contributed_to, "release_id")
-    return scoring.overlap(graph, sources).join(own, "release_id").select(
+    return scoring.overlap(graph, _own(spark, sf)).join(own, "release_id").select(
         "release_id", (F.lit(n).cast("bigint") + F.col("degree") - F.col("shared")).alias("union_size")
     )
 
 
 @query("adamic_adar", "SELECT release_id, round(aa, 4)::DOUBLE AS adamic_adar, shared FROM common", _OVERLAP)
 def adamic_adar(spark, sf):
-    return scoring.overlap(t.graph(spark, sf), t.sources(spark, sf)).withColumn(
+    return scoring.overlap(t.graph(spark, sf), _own(spark, sf)).withColumn(
         "adamic_adar", F.round("adamic_adar", 4)
     )
 
@@ -284,7 +289,7 @@ def adamic_adar(spark, sf):
     FROM common JOIN own_size USING (release_id), n_src""", _OVERLAP)
 def jaccard(spark, sf):
     graph, sources = t.graph(spark, sf), t.sources(spark, sf)
-    return scoring.jaccard(graph, scoring.overlap(graph, sources), sources.count()).select(
+    return scoring.jaccard(graph, scoring.overlap(graph, _own(spark, sf)), sources.count()).select(
         "release_id", F.round("jaccard", 4).alias("jaccard")
     )
 

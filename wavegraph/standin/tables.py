@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavegraph.functions.ids import PLACEHOLDER_LABEL
 from wavegraph.operators.graph import Graph, clean_edges, first_artists, sources_of
+from wavegraph.session import scratch_path
 
 _GRAPHS: dict = {}
 
@@ -39,7 +40,7 @@ def releases(spark, sf_dir) -> DataFrame:
 
 
 def graph(spark, sf_dir) -> Graph:
-    """The graph of a data set; kept so that its hot keys are looked up once per session."""
+    """The graph of a data set; stored once per session, like its hot keys."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
         on = table(spark, sf_dir, "orders").select(
@@ -48,7 +49,8 @@ def graph(spark, sf_dir) -> Graph:
         made = table(spark, sf_dir, "lineitem").select(
             F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("producer_id")
         )
-        _GRAPHS[key] = clean_edges(raw_contributions(spark, sf_dir), on, label_names(spark, sf_dir), made)
+        edges = clean_edges(raw_contributions(spark, sf_dir), on, label_names(spark, sf_dir), made)
+        _GRAPHS[key] = edges.stored(scratch_path(spark, "graph"))
     return _GRAPHS[key]
 
 
