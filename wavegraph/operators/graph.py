@@ -167,45 +167,68 @@ def hop_similar_artist(graph: Graph, sources: DataFrame, with_label: bool = Fals
     return _row(reach, F.lit(2.5), 3)
 
 
-def _at_hub(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int) -> DataFrame:
-    """(source_id, release_id, degree): one row per hub that a source's release shares with another release."""
-    led = _via(graph.hop(own, edges, "release_id"), hub)
-    hubs = led.join(filter_degree(getattr(graph, edges), hub, max_degree), hub)
-    return graph.hop(hubs, edges, hub).where(_ELSEWHERE).select("source_id", "release_id", "degree")
+def _sole(graph: Graph) -> DataFrame:
+    """(release_id, sole): releases with contributors; ``sole`` is the only one, null if there are several."""
+    return graph.contributed_to.groupBy("release_id").agg(
+        F.when(F.min("artist_id") == F.max("artist_id"), F.min("artist_id")).alias("sole")
+    )
 
 
-def _by_others(graph: Graph, reached: DataFrame) -> DataFrame:
-    """Rows (source_id, release_id, ...) whose release has a contributor other than the source."""
-    people = graph.contributed_to.groupBy("release_id").agg(
-        F.min("artist_id").alias("first_artist"), F.max("artist_id").alias("last_artist")
-    )
-    kept = reached.join(people, "release_id").where("first_artist <> source_id OR last_artist <> source_id")
-    return kept.drop("first_artist", "last_artist")
+def _hub_edges(graph: Graph, edges: str) -> DataFrame:
+    """The named edges to releases with contributors, with ``sole``. Joined once per edge, not once per path."""
+    return getattr(graph, edges).join(_sole(graph), "release_id")
+
+
+def _hubs(graph: Graph, own: DataFrame, edges: str, hub: str) -> DataFrame:
+    """(source_id, hub, lo, hi): the hubs of the sources' releases."""
+    return _via(graph.hop(own, edges, "release_id"), hub)
+
 
+def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int) -> DataFrame:
+    """One row per source, hub below ``max_degree`` and other release there that someone else worked on."""
+    hubs = _hubs(graph, own, edges, hub).join(filter_degree(getattr(graph, edges), hub, max_degree), hub)
+    reached = salted_join(hubs, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
+    kept = reached.where(_ELSEWHERE).where("sole IS NULL OR sole <> source_id")
+    return _row(kept, inv_log_degree(F.col("degree")), 2)
 
-def _hub_rows(graph: Graph, reached: DataFrame) -> DataFrame:
-    return _row(_by_others(graph, reached), inv_log_degree(F.col("degree")), 2)
+
+def hub_totals(
+    graph: Graph, own: DataFrame, counts: DataFrame, edges: str, hub: str, max_degree: int
+) -> DataFrame:
+    """(release_id, weight, hops, paths): what ``_hub_rows`` gives, summed over the sources.
+
+    ``counts`` has (source_id, seeds). The sources at a hub are added up before the hub's
+    releases are looked up, and what a release must not count is taken off again: sources
+    that only this release leads to the hub, and its sole contributor. The rows are those of
+    the edges, however many sources there are.
+    """
+    few = filter_degree(getattr(graph, edges), hub, max_degree)
+    via = _hubs(graph, own, edges, hub).join(counts, "source_id")
+    total = via.groupBy(hub).agg(F.sum("seeds").alias("total")).join(few, hub)
+    reached = salted_join(total, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
+    itself = via.where("lo = hi").groupBy(hub, F.col("lo").alias("release_id")).agg(F.sum("seeds").alias("itself"))
+    alone = via.select(hub, F.col("source_id").alias("sole"), F.col("lo").alias("a"), F.col("hi").alias("b"), "seeds")
+    left = (
+        reached.join(itself, [hub, "release_id"], "left")
+        .join(alone, [hub, "sole"], "left")
+        .withColumn(
+            "paths",
+            F.col("total") - F.coalesce("itself", F.lit(0))
+            - F.when((F.col("a") != F.col("b")) | (F.col("a") != F.col("release_id")), F.col("seeds")).otherwise(0),
+        )
+        .where("paths > 0")
+    )
+    return left.select("release_id", inv_log_degree(F.col("degree")).alias("weight"), F.lit(2).alias("hops"), "paths")
 
 
 def hop_label(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
     """Releases on a source's label, one row per label. Weight 1 / ln(label degree), two hops."""
-    own = own_releases(graph, sources)
-    return _hub_rows(graph, _at_hub(graph, own, "released_on", "label_id", max_degree))
+    return _hub_rows(graph, own_releases(graph, sources), "released_on", "label_id", max_degree)
 
 
 def hop_producer(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
     """Releases by a producer of a source's releases, one row per producer."""
-    own = own_releases(graph, sources)
-    return _hub_rows(graph, _at_hub(graph, own, "produced_by", "producer_id", max_degree))
-
-
-def _both_hubs(graph: Graph, own: DataFrame, max_degree: int) -> DataFrame:
-    return _hub_rows(
-        graph,
-        _at_hub(graph, own, "released_on", "label_id", max_degree).unionByName(
-            _at_hub(graph, own, "produced_by", "producer_id", max_degree)
-        ),
-    )
+    return _hub_rows(graph, own_releases(graph, sources), "produced_by", "producer_id", max_degree)
 
 
 def _weighed(weight: float, hops: int):
@@ -224,24 +247,41 @@ def all_hops(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEG
     """The six hop queries, one after the other, repeats kept. The sources' own releases are stored once."""
     own = materialize(own_releases(graph, sources))
     people = _people_rows(_reach_people(graph, own), [_weighed(1.0, 1), _weighed(2.0, 2)], [_weighed(2.5, 3)])
-    return people.unionByName(_row(_several(graph, own), F.lit(1.5), 1)).unionByName(_both_hubs(graph, own, max_degree))
+    return (
+        people.unionByName(_row(_several(graph, own), F.lit(1.5), 1))
+        .unionByName(_hub_rows(graph, own, "released_on", "label_id", max_degree))
+        .unionByName(_hub_rows(graph, own, "produced_by", "producer_id", max_degree))
+    )
 
 
-def hops_to_depth(graph: Graph, own: DataFrame, depth: int, max_degree: int) -> DataFrame:
-    """Depth 1: people. Depth 2: labels and producers too. Depth 3: similar artists of labelled releases.
+def reached_totals(graph: Graph, own: DataFrame, counts: DataFrame, depth: int, max_degree: int) -> DataFrame:
+    """(release_id, bacon_distance, hops, source_count) over all sources.
 
-    ``own`` are the sources' own releases.
+    Depth 1: people. Depth 2: labels and producers too. Depth 3: friends of friends and
+    similar artists, once per label of the release. ``own`` are the sources' own releases
+    and ``counts`` has (source_id, seeds); a path counts once per seed of its source.
     """
-    reach = _reach_people(graph, own)
-    if depth >= 3:
-        reach = materialize(reach)
-    out = _people_rows(reach, [_weighed(1.0, 1)], []).unionByName(_row(_several(graph, own), F.lit(1.5), 1))
+    def total(rows: DataFrame, weight: float, hops: int, paths) -> DataFrame:
+        summed = rows.groupBy("release_id").agg(F.sum(paths).alias("paths")).where("paths > 0")
+        return summed.select("release_id", F.lit(weight).alias("weight"), F.lit(hops).alias("hops"), "paths")
+
+    reach = (
+        _reach_people(graph, own).join(counts, "source_id").groupBy("release_id")
+        .agg(F.sum(F.when(F.col("elsewhere"), F.col("seeds")).otherwise(0)).alias("near"), F.sum("seeds").alias("far"))
+    )
+    out = total(reach, 1.0, 1, F.col("near")).unionByName(
+        total(_several(graph, own).join(counts, "source_id"), 1.5, 1, F.col("seeds"))
+    )
     if depth >= 2:
-        out = out.unionByName(_both_hubs(graph, own, max_degree))
+        for edges, hub in (("released_on", "label_id"), ("produced_by", "producer_id")):
+            out = out.unionByName(hub_totals(graph, own, counts, edges, hub, max_degree))
     if depth >= 3:
-        labelled = graph.hop(reach, "released_on", "release_id")
-        out = out.unionByName(_people_rows(labelled, [_weighed(2.0, 2)], [_weighed(2.5, 3)]))
-    return out
+        labelled = reach.join(degree(graph.released_on, "release_id"), "release_id")
+        out = out.unionByName(total(labelled, 2.0, 2, F.col("near") * F.col("degree")))
+        out = out.unionByName(total(labelled, 2.5, 3, F.col("far") * F.col("degree")))
+    return out.groupBy("release_id").agg(
+        F.min("weight").alias("bacon_distance"), F.min("hops").alias("hops"), F.sum("paths").alias("source_count")
+    )
 
 
 def min_distance(hops: DataFrame, *keys: str) -> DataFrame:

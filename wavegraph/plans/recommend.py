@@ -40,11 +40,8 @@ def reached_candidates(
     max_degree: int = g.DEFAULT_MAX_DEGREE,
 ) -> DataFrame:
     """(release_id, bacon_distance, hops, source_count) over all sources; a path counts once per seed of its source."""
-    hops = g.hops_to_depth(graph, own, depth, max_degree)
     counts = small_side(sources.select(F.col("artist_id").alias("source_id"), "seeds"), n_sources)
-    return hops.join(counts, "source_id").groupBy("release_id").agg(
-        F.min("weight").alias("bacon_distance"), F.min("hops").alias("hops"), F.sum("seeds").alias("source_count")
-    )
+    return g.reached_totals(graph, own, counts, depth, max_degree)
 
 
 def scored_recommendations(
