@@ -45,10 +45,10 @@ def number_rows(
 ) -> DataFrame:
     """Add ``name``, the 1-based position in the group. ``order`` must tell all rows apart."""
     if group and not has_long_group(df, group, long_group):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     runs = _runs(df, group, order)
     keys = [*group, "_run"]
-    inside = runs.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    inside = runs.withColumn("_in_run", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     before = (
         runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
         .withColumn(
@@ -65,8 +65,8 @@ def number_rows(
     )
     return (
         _attach(inside, before, keys)
-        .withColumn(name, (F.col("_at") + F.col("_before")).cast("int"))
-        .drop("_at", "_before", "_run")
+        .withColumn(name, F.col("_in_run") + F.col("_before"))
+        .drop("_in_run", "_before", "_run")
     )
 
 

@@ -214,7 +214,7 @@ _MART = {
         FROM audio a JOIN ratings USING (label, release)""",
     "present": "SELECT DISTINCT path FROM audio WHERE size > 60000",
     "mart": """SELECT label, release, track, path, created_at,
-        CAST(row_number() OVER (PARTITION BY label, release ORDER BY path) - 1 AS INTEGER) AS track_ix FROM mart_files""",
+        row_number() OVER (PARTITION BY label, release ORDER BY path) - 1 AS track_ix FROM mart_files""",
 }
 
 
@@ -239,7 +239,7 @@ def _files(spark, sf):
     return t.audio(spark, sf).select("label", "release", "track", "path", "created_at").distinct()
 
 
-@query("track_index", """SELECT path, CAST(row_number() OVER (PARTITION BY label, release ORDER BY path) - 1 AS INTEGER)
+@query("track_index", """SELECT path, row_number() OVER (PARTITION BY label, release ORDER BY path) - 1
     AS track_ix FROM (SELECT DISTINCT label, release, path FROM audio)""")
 def track_index(spark, sf):
     return playlist.with_track_index(_files(spark, sf)).select("path", "track_ix")
@@ -313,8 +313,8 @@ def release_representative(spark, sf):
     return playlist.release_representative(t.audio(spark, sf))
 
 
-@query("item_ordinal", """SELECT path, CAST(row_number() OVER (PARTITION BY label, release
-        ORDER BY created_at DESC, path) - 1 AS INTEGER) AS id
+@query("item_ordinal", """SELECT path, row_number() OVER (PARTITION BY label, release
+        ORDER BY created_at DESC, path) - 1 AS id
     FROM (SELECT DISTINCT label, release, path, created_at FROM audio)""")
 def item_ordinal(spark, sf):
     return playlist.item_ordinal(_files(spark, sf), by_release=True).select("path", "id")
@@ -350,8 +350,8 @@ def uniq_adjacent(spark, sf):
     return playlist.uniq_adjacent(lines, ["user_id"], ["event_id"], "event_type")
 
 
-@query("row_numbers_long_group", """SELECT event_type, event_id, CAST(row_number() OVER
-    (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS n FROM events""")
+@query("row_numbers_long_group", """SELECT event_type, event_id, row_number() OVER
+    (PARTITION BY event_type ORDER BY event_id) AS n FROM events""")
 def row_numbers_long_group(spark, sf):
     """The path for a group too long for one task, taken here for every group."""
     lines = t.table(spark, sf, "events").select("event_type", "event_id")
