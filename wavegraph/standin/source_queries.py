@@ -137,13 +137,13 @@ def scan_share_list(spark, sf):
 
 def _feed(spark, sf):
     path = _written(spark, _shares(spark, sf), "shares", src.write_share_list)
-    return src.feed_items(src.scan_share_list(spark, path), "https://9ol.example/")
+    return src.feed_items(src.scan_share_list(spark, path), "https://feed.example/")
 
 
 @query("share_feed", """SELECT regexp_replace(track, '-[0-9]+.mp3', '') || ' / ' || release AS title,
     'https://s.example/' || release AS description, CAST(floor(duration) AS BIGINT) AS duration,
     strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S') || ' +0000' AS pub_date,
-    'https://9ol.example/' || path AS link, md5(path) AS guid, size, time FROM audio""")
+    'https://feed.example/' || path AS link, md5(path) AS guid, size, time FROM audio""")
 def share_feed(spark, sf):
     return _feed(spark, sf).select("title", "description", "duration", "pub_date", "link", "guid", "size", "time")
 
@@ -151,7 +151,7 @@ def share_feed(spark, sf):
 @query("feed_columns", """SELECT DISTINCT path, md5(path) AS guid, strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%Y') AS year FROM audio""")
 def feed_columns(spark, sf):
     return _feed(spark, sf).select(
-        F.replace("link", F.lit("https://9ol.example/"), F.lit("")).alias("path"), "guid",
+        F.replace("link", F.lit("https://feed.example/"), F.lit("")).alias("path"), "guid",
         F.regexp_extract("pub_date", r" (\d{4}) ", 1).alias("year"),
     ).distinct()
 
