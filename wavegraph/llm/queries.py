@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
+from wavegraph.llm.language import op3_language
 from wavegraph.llm.mixing import op5_mix
+from wavegraph.llm.pii import op4_pii
+from wavegraph.llm.quality import op2_quality
 from wavegraph.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
 }
