@@ -7,6 +7,7 @@ from wavegraph.llm.language import op3_language
 from wavegraph.llm.mixing import op5_mix
 from wavegraph.llm.pii import op4_pii
 from wavegraph.llm.quality import op2_quality
+from wavegraph.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from wavegraph.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
@@ -16,8 +17,10 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op6_url_filter": OP6_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
