@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
+from wavegraph.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from wavegraph.llm.language import op3_language
 from wavegraph.llm.mixing import op5_mix
 from wavegraph.llm.pii import op4_pii
@@ -18,9 +19,11 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op6_url_filter": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
