@@ -10,6 +10,7 @@ from wavegraph.llm.pii import op4_pii
 from wavegraph.llm.quality import op2_quality
 from wavegraph.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from wavegraph.llm.url_filter import OP6_SQL, op6_url_filter
+from wavegraph.llm.vector_search import op7_vector_search
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
+    "op7_vector_search": op7_vector_search,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
