@@ -5,6 +5,7 @@ from __future__ import annotations
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
 from wavegraph.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from wavegraph.llm.language import op3_language
+from wavegraph.llm.licenses import op8_license_scan
 from wavegraph.llm.mixing import op5_mix
 from wavegraph.llm.pii import op4_pii
 from wavegraph.llm.quality import op2_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
     "op7_vector_search": op7_vector_search,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }

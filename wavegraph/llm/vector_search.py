@@ -222,8 +222,11 @@ def search(
 
     index = materialize(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, index binary"))
     numbered = asked.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
-    sent = numbered.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")).join(
-        F.broadcast(index.select("dim", "shard")) if shards <= 10_000 else index.select("dim", "shard"), "dim"
+    places = index.groupBy("dim").agg(F.collect_set("shard").alias("shards")).withColumnRenamed("dim", "_dim")
+    sent = materialize(
+        numbered.withColumn("q_block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int"))
+        .join(places, F.col("dim") == F.col("_dim")).withColumn("q_shard", F.explode("shards"))
+        .select(F.col("dim").alias("q_dim"), "q_shard", "q_block", "id", "vector")
     )
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -236,7 +239,7 @@ def search(
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     on = ["dim", "shard", "block"]
-    found = spread.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(find, "query_id long, vec_id long, score double")
+    found = spread.groupBy(*on).cogroup(sent.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(find, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
