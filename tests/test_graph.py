@@ -177,3 +177,24 @@ def test_hot_keys_and_salted_join(spark):
     assert sorted(map(tuple, salted_join(few, many, "k", hot).select("k", "name", "v").collect())) == plain
     right = salted_join(few, many, "k", hot, how="right")
     assert right.count() == few.join(many, "k", "right").count()
+
+
+def test_a_release_in_three_parts_keeps_all_tracks(spark):
+    from wavegraph.operators import catalog
+
+    def part(first, count):
+        tracks = [(k, str(k), f"t{k}", [(5, "w", "Written By", "")]) for k in range(first, first + count)]
+        return (1, tracks, [(k, 9, "a", ",", "") for k in range(first, first + 1)])
+
+    docs = spark.createDataFrame(
+        [part(0, 1000), part(1000, 1000), part(2000, 7)],
+        "id long, tracks array<struct<place:int,position:string,title:string,"
+        "extraartists:array<struct<id:long,name:string,role:string,anv:string>>>>, "
+        "artists array<struct<place:int,id:long,name:string,join:string,anv:string>>",
+    )
+    for name in ("title", "master_id", "country", "released", "notes", "data_quality"):
+        docs = docs.withColumn(name, F.lit(None).cast("string"))
+    docs = docs.withColumn("extraartists", F.array().cast("array<struct<place:int,id:bigint,name:string,role:string,anv:string>>"))
+    found = catalog.normalize_catalog(docs)
+    assert {(r.track_pos, r.title) for r in found["tracks"].collect()} == {(k, f"t{k}") for k in range(2007)}
+    assert found["track_artists"].count() == 2007 and found["release_artists"].count() == 1

@@ -125,3 +125,13 @@ def test_pick_encoding(spark):
     files = spark.createDataFrame([("a.mp3",), ("a.opus",), ("a.m5a",), ("b.mp3",), ("c.opus",)], "path string")
     got = [{r.file for r in playlist.pick_encoding(files, level).collect()} for level in (0, 1, 2)]
     assert got == [{"a.opus", "b.mp3", "c.opus"}, {"a.m5a", "b.mp3"}, {"a.mp3", "b.mp3"}]
+
+
+def test_the_part_after_the_dash_counts_only_without_a_full_match(spark):
+    from wavegraph.operators import playlist
+
+    titles = spark.createDataFrame([("r", "A - B"), ("r", "C - D"), ("q", "E")], "release string, wanted string")
+    files = spark.createDataFrame([("r", "A - B-1.mp3"), ("r", "B side-2.mp3"), ("r", "D-3.mp3")], "release string, file string")
+    pairs, report = playlist.playlist_file_match(titles, files)
+    assert {tuple(r) for r in pairs.collect()} == {("r", "A - B", "A - B-1.mp3"), ("r", "C - D", "D-3.mp3")}
+    assert {tuple(r) for r in report.collect()} == {("r", 2, 2, True), ("q", 1, 0, False)}

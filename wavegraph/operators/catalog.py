@@ -23,10 +23,15 @@ def fresh(rows: DataFrame, fetched_at: str, as_of: Column, days: int = 7) -> Dat
 
 
 def _items(docs: DataFrame, array: str, *fields: str) -> DataFrame:
-    """One row per array element: release_id, pos and the named fields."""
-    return docs.select(F.col("id").alias("release_id"), F.posexplode(array).alias("pos", "e")).select(
-        "release_id", "pos", *(F.col(f"e.{f}").alias(f) for f in fields)
-    )
+    """One row per array element: release_id, pos and the named fields.
+
+    A release of very many lines may come as several documents of one id. Their elements then carry
+    ``place``, the position in the whole release, which counts instead of that in the part.
+    """
+    rows = docs.select(F.col("id").alias("release_id"), F.posexplode(array).alias("pos", "e"))
+    if "place" in docs.schema[array].dataType.elementType.fieldNames():
+        rows = rows.withColumn("pos", F.coalesce("e.place", "pos"))
+    return rows.select("release_id", "pos", *(F.col(f"e.{f}").alias(f) for f in fields))
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -39,15 +39,16 @@ def traverse(
     graph: Graph,
     seeds: DataFrame,
     depth: int = 2,
-    releases_per_artist: int = RELEASES_PER_ARTIST,
-    pages_per_label: int = PAGES_PER_LABEL,
+    releases_per_artist: int | None = None,
+    pages_per_label: int | None = None,
     labels_from: str = "seeds",
 ) -> DataFrame:
     """(release_id, depth): reached releases with the level they were first found at; seeds are level 0.
 
     Odd levels add the releases of all known contributors, even levels those on all known
     labels. With ``labels_from="seeds"`` a release found through a contributor adds neither
-    contributors nor labels to what is known; with "all" every found release does.
+    contributors nor labels to what is known; with "all" every found release does. All releases
+    of a contributor or label are taken unless a limit is given.
     """
     reached = materialize(seeds.select("release_id").distinct().withColumn("depth", F.lit(0)))
     documented = reached
@@ -55,10 +56,14 @@ def traverse(
         known = documented.select("release_id")
         if level % 2 == 1:
             artists = graph.hop(known, "contributed_to", "release_id").select("artist_id").distinct()
-            found = cap_per_artist(graph, artists, releases_per_artist)
+            found = graph.hop(artists, "contributed_to", "artist_id")
+            if releases_per_artist is not None:
+                found = cap_per_key(found, "artist_id", "release_id", releases_per_artist)
         else:
             labels = graph.hop(known, "released_on", "release_id").select("label_id").distinct()
-            found = cap_per_label(graph, labels, pages_per_label)
+            found = graph.hop(labels, "released_on", "label_id")
+            if pages_per_label is not None:
+                found = cap_per_key(found, "label_id", "release_id", pages_per_label * RELEASES_PER_PAGE)
         fresh = except_known(found.select("release_id").distinct(), reached).withColumn("depth", F.lit(level))
         fresh = materialize(fresh)
         reached = reached.unionByName(fresh)

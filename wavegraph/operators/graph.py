@@ -19,7 +19,6 @@ from wavegraph.functions.weights import inv_log_degree
 from wavegraph.operators.skew import hot_keys, salted_join
 from wavegraph.session import materialize
 
-DEFAULT_MAX_DEGREE = 1000
 
 
 @dataclass
@@ -73,9 +72,10 @@ def degree(edges: DataFrame, node: str) -> DataFrame:
     return edges.groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def filter_degree(edges: DataFrame, node: str, max_degree: int) -> DataFrame:
-    """Nodes with a degree below ``max_degree``, with that degree."""
-    return degree(edges, node).where(F.col("degree") < max_degree)
+def filter_degree(edges: DataFrame, node: str, max_degree: int | None) -> DataFrame:
+    """Nodes with a degree below ``max_degree``, with that degree; None is no limit."""
+    found = degree(edges, node)
+    return found if max_degree is None else found.where(F.col("degree") < max_degree)
 
 
 def sources_of(graph: Graph, seeds: DataFrame) -> DataFrame:
@@ -184,8 +184,8 @@ def _hubs(graph: Graph, own: DataFrame, edges: str, hub: str) -> DataFrame:
     return _via(graph.hop(own, edges, "release_id"), hub)
 
 
-def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int) -> DataFrame:
-    """One row per source, hub below ``max_degree`` and other release there that someone else worked on."""
+def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int | None) -> DataFrame:
+    """One row per source, hub (below ``max_degree``, if given) and other release there that someone else worked on."""
     hubs = _hubs(graph, own, edges, hub).join(filter_degree(getattr(graph, edges), hub, max_degree), hub)
     reached = salted_join(hubs, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
     kept = reached.where(_ELSEWHERE).where("sole IS NULL OR sole <> source_id")
@@ -193,7 +193,7 @@ def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: in
 
 
 def hub_totals(
-    graph: Graph, own: DataFrame, counts: DataFrame, edges: str, hub: str, max_degree: int
+    graph: Graph, own: DataFrame, counts: DataFrame, edges: str, hub: str, max_degree: int | None
 ) -> DataFrame:
     """(release_id, weight, hops, paths): what ``_hub_rows`` gives, summed over the sources.
 
@@ -208,8 +208,11 @@ def hub_totals(
     reached = salted_join(total, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
     itself = via.where("lo = hi").groupBy(hub, F.col("lo").alias("release_id")).agg(F.sum("seeds").alias("itself"))
     alone = via.select(hub, F.col("source_id").alias("sole"), F.col("lo").alias("a"), F.col("hi").alias("b"), "seeds")
+    # Releases of several people have no sole contributor. Ids are positive; a negative number that
+    # no source has keeps the many rows of such releases from meeting under one key.
+    nobody = -1 - F.pmod(F.xxhash64("release_id"), F.lit(1 << 20))
     left = (
-        reached.join(itself, [hub, "release_id"], "left")
+        reached.withColumn("sole", F.coalesce("sole", nobody)).join(itself, [hub, "release_id"], "left")
         .join(alone, [hub, "sole"], "left")
         .withColumn(
             "paths",
@@ -221,12 +224,12 @@ def hub_totals(
     return left.select("release_id", inv_log_degree(F.col("degree")).alias("weight"), F.lit(2).alias("hops"), "paths")
 
 
-def hop_label(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
+def hop_label(graph: Graph, sources: DataFrame, max_degree: int | None = None) -> DataFrame:
     """Releases on a source's label, one row per label. Weight 1 / ln(label degree), two hops."""
     return _hub_rows(graph, own_releases(graph, sources), "released_on", "label_id", max_degree)
 
 
-def hop_producer(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
+def hop_producer(graph: Graph, sources: DataFrame, max_degree: int | None = None) -> DataFrame:
     """Releases by a producer of a source's releases, one row per producer."""
     return _hub_rows(graph, own_releases(graph, sources), "produced_by", "producer_id", max_degree)
 
@@ -243,7 +246,7 @@ def _people_rows(reach: DataFrame, elsewhere: list, always: list) -> DataFrame:
     return reach.select("source_id", "release_id", F.explode(kinds).alias("k")).select("source_id", "release_id", "k.*")
 
 
-def all_hops(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEGREE) -> DataFrame:
+def all_hops(graph: Graph, sources: DataFrame, max_degree: int | None = None) -> DataFrame:
     """The six hop queries, one after the other, repeats kept. The sources' own releases are stored once."""
     own = materialize(own_releases(graph, sources))
     people = _people_rows(_reach_people(graph, own), [_weighed(1.0, 1), _weighed(2.0, 2)], [_weighed(2.5, 3)])
@@ -254,7 +257,7 @@ def all_hops(graph: Graph, sources: DataFrame, max_degree: int = DEFAULT_MAX_DEG
     )
 
 
-def reached_totals(graph: Graph, own: DataFrame, counts: DataFrame, depth: int, max_degree: int) -> DataFrame:
+def reached_totals(graph: Graph, own: DataFrame, counts: DataFrame, depth: int, max_degree: int | None) -> DataFrame:
     """(release_id, bacon_distance, hops, source_count) over all sources.
 
     Depth 1: people. Depth 2: labels and producers too. Depth 3: friends of friends and

@@ -122,15 +122,15 @@ def uniq_adjacent(lines: DataFrame, group: list[str], order: list[str], value: s
 def playlist_file_match(titles: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Match wanted titles "artist - title" to the local files of the same release.
 
-    A file matches if its name starts with the full title or with the part after the dash.
-    The names of files are cut at every place a title can end, so the match is an equi-join.
+    A file matches if its name starts with the full title; where no file does, if it starts with
+    the part after the dash. The names of files are cut at every place a title can end, so the match is an equi-join.
     Gives (release, wanted, file) and, per release, (release, n_wanted, n_matched, complete).
     """
     part = F.trim(F.coalesce(F.get(F.split("wanted", "-", 2), F.lit(1)), F.lit("")))
     keys = titles.select(
         "release", "wanted",
-        F.explode(F.array_distinct(F.filter(F.array(F.trim("wanted"), part), lambda k: k != ""))).alias("prefix"),
-    )
+        F.posexplode(F.array(F.trim("wanted"), part)).alias("form", "prefix"),
+    ).where("prefix <> ''")
     lengths = keys.groupBy("release").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     cut = (
         files.join(lengths, "release")
@@ -138,7 +138,9 @@ def playlist_file_match(titles: DataFrame, files: DataFrame) -> tuple[DataFrame,
         .where(F.length("file") >= F.col("n"))
         .select("release", "file", F.substring(F.col("file"), F.lit(1), F.col("n")).alias("prefix"))
     )
-    pairs = keys.join(cut, ["release", "prefix"]).select("release", "wanted", "file").distinct()
+    tried = keys.join(cut.distinct(), ["release", "prefix"])
+    best = tried.groupBy("release", "wanted").agg(F.min("form").alias("form"))
+    pairs = tried.join(best, ["release", "wanted", "form"]).select("release", "wanted", "file").distinct()
     wanted = titles.groupBy("release").agg(F.count(F.lit(1)).alias("n_wanted"))
     matched = pairs.groupBy("release").agg(F.count(F.lit(1)).alias("n_matched"))
     report = wanted.join(matched, "release", "left").fillna({"n_matched": 0})

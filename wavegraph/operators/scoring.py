@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegraph.functions.weights import damped_idf, idf, inv_log_degree
@@ -150,11 +150,26 @@ def weighted_average(rows: DataFrame, keys: list[str], weight: str, value: str,
 
 def label_propagation(graph: Graph, candidates: DataFrame, ratings: DataFrame) -> DataFrame:
     """Predict candidates' scores as the weighted mean of their rated neighbours' scores."""
-    near = labelled_neighbours(graph, candidates, ratings)
-    sizes = degree(
-        graph.hop(ratings.select("release_id").distinct(), "contributed_to", "release_id"), "release_id"
-    ).select(F.col("release_id").alias("neighbour_id"), inv_log_degree(F.col("degree")).alias("w"))
-    mean = weighted_average(
-        near.join(sizes, "neighbour_id"), ["source_id", "release_id"], "w", "score", "predicted_score"
+    per_release = ratings.groupBy("release_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    links = graph.hop(per_release, "contributed_to", "release_id")
+    sizes = degree(links.select("release_id", "artist_id"), "release_id")
+    own = per_release.join(sizes, "release_id").select(
+        "release_id", (inv_log_degree(F.col("degree")) * F.col("score")).alias("own_top"),
+        (inv_log_degree(F.col("degree")) * F.col("n")).alias("own_all"), F.col("n").alias("own_n"),
+    )
+    # What is rated under each person is added up once; a rated candidate's own share is taken off again.
+    per_person = links.select("release_id", "artist_id").join(own, "release_id").groupBy("artist_id").agg(
+        F.sum("own_top").alias("top"), F.sum("own_all").alias("all"), F.sum("own_n").alias("n")
+    )
+    people = graph.hop(candidates.select("source_id", "release_id"), "contributed_to", "release_id")
+    summed = people.join(per_person, "artist_id").groupBy("source_id", "release_id").agg(
+        F.sum("top").alias("top"), F.sum("all").alias("all"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("people")
+    ).join(own, "release_id", "left")
+
+    def others(total: str, mine: str) -> Column:
+        return F.col(total) - F.col("people") * F.coalesce(mine, F.lit(0))
+
+    mean = summed.where((others("n", "own_n") > 0) & (others("all", "own_all") > 1e-9)).select(
+        "source_id", "release_id", (others("top", "own_top") / others("all", "own_all")).alias("predicted_score")
     )
     return candidates.join(mean, ["source_id", "release_id"])

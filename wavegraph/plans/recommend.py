@@ -14,6 +14,8 @@ from wavegraph.operators.skew import small_side
 from wavegraph.session import materialize
 
 TOP_N = 20
+# Similar releases leave out labels and producers with so many releases.
+SIMILAR_MAX_DEGREE = 1000
 
 
 def top(rows: DataFrame, n: int, *order) -> DataFrame:
@@ -28,7 +30,7 @@ def top_per_source(rows: DataFrame, n: int, *order) -> DataFrame:
 
 
 def find_similar_releases(
-    graph: g.Graph, artists: DataFrame, top_n: int = TOP_N, max_degree: int = g.DEFAULT_MAX_DEGREE
+    graph: g.Graph, artists: DataFrame, top_n: int = TOP_N, max_degree: int | None = SIMILAR_MAX_DEGREE
 ) -> DataFrame:
     """(source_id, release_id, bacon_distance, hops): per artist the nearest releases."""
     near = g.min_distance(g.all_hops(graph, artists, max_degree), "source_id", "release_id")
@@ -37,7 +39,7 @@ def find_similar_releases(
 
 def reached_candidates(
     graph: g.Graph, sources: DataFrame, n_sources: int, own: DataFrame, depth: int = 2,
-    max_degree: int = g.DEFAULT_MAX_DEGREE,
+    max_degree: int | None = None,
 ) -> DataFrame:
     """(release_id, bacon_distance, hops, source_count) over all sources; a path counts once per seed of its source."""
     counts = small_side(sources.select(F.col("artist_id").alias("source_id"), "seeds"), n_sources)
@@ -45,7 +47,7 @@ def reached_candidates(
 
 
 def scored_recommendations(
-    graph: g.Graph, seeds: DataFrame, depth: int = 2, max_degree: int = g.DEFAULT_MAX_DEGREE
+    graph: g.Graph, seeds: DataFrame, depth: int = 2, max_degree: int | None = None
 ) -> DataFrame:
     """Every release within reach of the seeds' contributors, with all scores; seeds left out.
 
@@ -66,7 +68,7 @@ def aggregate_recommendations(
     label_names: DataFrame,
     top_n: int = TOP_N,
     depth: int = 2,
-    max_degree: int = g.DEFAULT_MAX_DEGREE,
+    max_degree: int | None = None,
 ) -> DataFrame:
     """The best releases for a set of liked ones, with title, URL, artists[] and labels[]."""
     best = top(
@@ -99,7 +101,7 @@ def _named(links: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 def similar_by_label_propagation(
     graph: g.Graph, artists: DataFrame, ratings: DataFrame, top_n: int = TOP_N,
-    pool: int = 100, max_degree: int = g.DEFAULT_MAX_DEGREE,
+    pool: int = 100, max_degree: int | None = SIMILAR_MAX_DEGREE,
 ) -> DataFrame:
     """Per artist, the nearest ``pool`` releases ranked by the score predicted from rated neighbours."""
     near = find_similar_releases(graph, artists, pool, max_degree)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="wavegraph-")
+    # One machine, one process: the warehouse is as good a place as any.
+    named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -41,12 +42,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it from there.
 
     This cuts the lineage, so a lost executor costs no recompute, and computes ``df`` once
-    (a checkpoint computes it twice). The files also tell Spark the size of the result.
+    (a checkpoint computes it twice). The files also tell Spark the size of the result. They
+    are deleted when the driver ends.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
+    _delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -134,8 +134,8 @@ def meta_description(spark, sf):
     )
 
 
-@query("parse_description", """SELECT p.page_id, title, artist, year, (SELECT string_agg(title, ';' ORDER BY pos)
-    FROM page_tracks t WHERE t.page_id = p.page_id) AS tracks FROM page_ok p""", V)
+@query("parse_description", """SELECT p.page_id, title, artist, year, coalesce((SELECT string_agg(title, ';' ORDER BY pos)
+    FROM page_tracks t WHERE t.page_id = p.page_id), '') AS tracks FROM page_ok p""", V)
 def parse_description(spark, sf):
     return pages.parsed_pages(corpus.release_pages(spark, sf)).where("status = 'ok'").select(
         "page_id", "title", "artist", "year", F.array_join("track_list", ";").alias("tracks")
@@ -153,8 +153,8 @@ def og_title(spark, sf):
     return corpus.release_pages(spark, sf).select("page_id", pages.og_title(F.col("html")).alias("og_title"))
 
 
-@query("embedded_release_json", """SELECT page_id, artist, title, year AS json_date, n.np AS n_tracks
-    FROM page_all JOIN n_page n USING (page_id)""", V)
+@query("embedded_release_json", """SELECT page_id, artist, title, year AS json_date, coalesce(n.np, 0) AS n_tracks
+    FROM page_all LEFT JOIN n_page n USING (page_id)""", V)
 def embedded_release_json(spark, sf):
     return pages.embedded_release(corpus.release_pages(spark, sf)).select(
         "page_id", F.col("json_artist").alias("artist"), F.col("json_title").alias("title"), "json_date",
@@ -162,8 +162,8 @@ def embedded_release_json(spark, sf):
     )
 
 
-@query("jsonld_track_url", """SELECT page_id, 'https://x.example/track/' || replace(title, ' ', '-') AS url
-    FROM page_tracks WHERE pos = 1""", V)
+@query("jsonld_track_url", """SELECT p.page_id, 'https://x.example/track/' || replace(t.title, ' ', '-') AS url
+    FROM page_all p LEFT JOIN page_tracks t ON t.page_id = p.page_id AND t.pos = 1""", V)
 def jsonld_track_url(spark, sf):
     source = corpus.release_pages(spark, sf)
     first = F.get(pages.page_track_titles(F.col("html"), F.lit(True)), F.lit(0))
@@ -278,7 +278,7 @@ def labels_without_links(spark, sf):
 
 
 @query("release_info", f"""SELECT k.path, {_URL} AS url, CASE WHEN p.page_id IS NOT NULL THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS released_on,
-    np AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes
+    CASE WHEN p.page_id IS NOT NULL THEN coalesce(np, 0) END AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes
     FROM known k LEFT JOIN release_domain r USING (path) LEFT JOIN label_domain d USING (label)
     LEFT JOIN page_all p ON p.page_id = k.release_id LEFT JOIN n_page np ON np.page_id = p.page_id
     LEFT JOIN page_tracks ft ON ft.page_id = p.page_id AND ft.pos = 1

@@ -48,27 +48,34 @@ def documents(spark, sf) -> DataFrame:
     return _stored(spark, sf, "documents", _documents)
 
 
-def _documents(spark, sf) -> DataFrame:
+def whole_documents(spark, sf) -> DataFrame:
+    """The same, each release as the one record that it is in a dump."""
+    return _stored(spark, sf, "whole-documents", lambda spark, sf: _documents(spark, sf, None))
+
+
+def _documents(spark, sf, lines: int | None = LINES_PER_DOCUMENT) -> DataFrame:
+    place = (F.col("pos") - 1).cast("int").alias("place")
     credit = F.struct(
+        place,
         F.col("l_partkey").alias("id"), F.col("artist").alias("name"),
         F.when(F.col("l_returnflag") == "A", "Producer").otherwise("Mixed By").alias("role"), F.lit("").alias("anv"),
     )
-    main = F.struct(F.col("l_partkey").alias("id"), F.col("artist").alias("name"), F.lit(",").alias("join"), F.lit("").alias("anv"))
+    main = F.struct(place, F.col("l_partkey").alias("id"), F.col("artist").alias("name"), F.lit(",").alias("join"), F.lit("").alias("anv"))
     writer = F.struct(F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("Written By").alias("role"), F.lit("").alias("anv"))
     track = F.struct(
-        F.col("l_linenumber").cast("string").alias("position"),
+        place, F.col("l_linenumber").cast("string").alias("position"),
         F.concat("p_name", F.lit(" "), "l_suppkey").alias("title"), F.array(writer).alias("extraartists"),
     )
     kind = F.struct(
-        F.col("l_linestatus").alias("name"), F.col("qty").cast("string").alias("qty"), F.col("l_returnflag").alias("text"),
+        place, F.col("l_linestatus").alias("name"), F.col("qty").cast("string").alias("qty"), F.col("l_returnflag").alias("text"),
         F.array("p_type").alias("descriptions"),
     )
     video = F.struct(
-        F.concat(F.lit("v/"), "price").alias("src"), F.col("qty").alias("duration"), F.lit("true").alias("embed"),
+        place, F.concat(F.lit("v/"), "price").alias("src"), F.col("qty").alias("duration"), F.lit("true").alias("embed"),
         F.col("p_name").alias("title"), F.col("p_type").alias("description"),
     )
     company = F.struct(
-        F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("23").alias("entity_type"),
+        place, F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("23").alias("entity_type"),
         F.lit("Pressed By").alias("entity_type_name"),
     )
 
@@ -77,8 +84,12 @@ def _documents(spark, sf) -> DataFrame:
         held = F.sort_array(F.collect_list(F.when(where, item) if where is not None else item))
         return F.transform(held, lambda e: e["v"]).alias(name)
 
+    def empty(frame, names):
+        """Null arrays, of releases without lines, become empty ones."""
+        return frame.withColumns({n: F.coalesce(n, F.array().cast(frame.schema[n].dataType)) for n in names})
+
     is_main = F.col("l_returnflag") == "N"
-    chunk = F.floor((F.col("pos") - 1) / LINES_PER_DOCUMENT)
+    chunk = F.lit(0) if lines is None else F.floor((F.col("pos") - 1) / lines)
     lists = doc_lines(spark, sf).groupBy("id", chunk.alias("part")).agg(
         listed("artists", main, is_main), listed("extraartists", credit, ~is_main), listed("tracks", track),
         listed("formats", kind), listed("genres", F.col("p_type")), listed("styles", F.col("p_brand")),
@@ -97,8 +108,9 @@ def _documents(spark, sf) -> DataFrame:
     )
     label = F.struct(F.col("o_custkey").alias("id"), F.col("label_name").alias("name"), F.concat(F.lit("C"), "id").alias("catno"))
     series = F.struct(F.col("nation").alias("id"), F.col("c_mktsegment").alias("name"), F.lit("").alias("catno"))
+    whole = head.join(lists, "id", "left").join(named, "o_custkey").join(segment, "o_custkey")
     return (
-        lists.join(head, "id").join(named, "o_custkey").join(segment, "o_custkey")
+        empty(whole, [c for c in lists.columns if c not in ("id", "part")])
         .withColumn("labels", F.array(label)).withColumn("series", F.array(series))
         .drop("o_custkey", "label_name", "c_mktsegment", "nation", "part")
     )
@@ -119,8 +131,8 @@ def _match_catalog(spark, sf) -> dict[str, DataFrame]:
     segment = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("segment"))
     releases = (
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.year("o_orderdate").alias("year"))
-        .join(first, "id").join(segment, "o_custkey")
-        .select("id", F.concat_ws(" ", "segment", "p_name", F.lit("vol"), "id").alias("title"), "year")
+        .join(first, "id", "left").join(segment, "o_custkey")
+        .select("id", F.concat_ws(" ", "segment", F.coalesce("p_name", F.lit("untitled")), F.lit("vol"), "id").alias("title"), "year")
     )
     return {
         "releases": releases,
@@ -188,7 +200,10 @@ def _release_pages(spark, sf) -> DataFrame:
         F.date_format("o_orderdate", "MMMM d, "), F.lit("20"), F.date_format("o_orderdate", "yy"), F.lit("</p>"),
         F.lit('<a class="popupImage" href="https://img.example/'), F.col("page_id"), F.lit('.jpg">'), track_spans, "body",
     )
-    return pages.join(orders, "page_id").join(catalog, "page_id").join(shown, "page_id").join(place, "page_id").select(
+    full = pages.join(orders, "page_id").join(catalog, "page_id").join(shown, "page_id", "left").join(place, "page_id")
+    no_tracks = F.array().cast("array<struct<pos:bigint,name:string>>")
+    full = full.withColumn("artist", F.coalesce("artist", F.lit("Nobody"))).withColumn("t", F.coalesce("t", no_tracks))
+    return full.select(
         "page_id", "path", "url", html.alias("html")
     )
 
@@ -200,14 +215,13 @@ VIEWS = {
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag,
             l_linestatus, CAST(l_quantity AS INTEGER), CAST(trunc(l_extendedprice) AS BIGINT)) AS pos
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "doc_ids": "SELECT DISTINCT id FROM line_base",
     "doc_head": """SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS country,
         CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-00') WHEN 'O' THEN '19??' ELSE '' END AS released,
         CASE o_orderstatus WHEN 'F' THEN CAST(year(o_orderdate) AS INTEGER) END AS year, o_custkey
-        FROM orders WHERE o_orderkey IN (SELECT id FROM doc_ids)""",
-    "cat_releases": """SELECT o_orderkey AS id, lower(c_mktsegment) || ' ' || p_name || ' vol ' || o_orderkey AS title,
+        FROM orders""",
+    "cat_releases": """SELECT o_orderkey AS id, lower(c_mktsegment) || ' ' || coalesce(p_name, 'untitled') || ' vol ' || o_orderkey AS title,
         CAST(year(o_orderdate) AS INTEGER) AS year
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN line_base ON line_base.id = o_orderkey AND pos = 1""",
+        FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN line_base ON line_base.id = o_orderkey AND pos = 1""",
     "cat_links": "SELECT DISTINCT id AS release_id, l_partkey AS artist_id FROM line_base",
     "cat_artists": "SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name FROM part",
     "cat_tracks": "SELECT id AS release_id, p_name || ' ' || l_suppkey AS title, pos FROM line_base",
@@ -215,9 +229,9 @@ VIEWS = {
         CASE WHEN contains(html, 'lang="fr"') THEN 'no_meta' WHEN contains(html, 'lang="de"') THEN 'parse_fail'
              WHEN contains(html, 'lang="es"') THEN 'not_found' ELSE 'ok' END AS status,
         array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS t0,
-        artist, CAST(year(o_orderdate) AS VARCHAR) AS year
+        coalesce(artist, 'Nobody') AS artist, CAST(year(o_orderdate) AS VARCHAR) AS year
         FROM pages JOIN orders ON page_id = o_orderkey JOIN cat_releases r ON r.id = page_id
-        JOIN line_base b ON b.id = page_id AND b.pos = 1 JOIN known ON known.release_id = page_id""",
+        LEFT JOIN line_base b ON b.id = page_id AND b.pos = 1 JOIN known ON known.release_id = page_id""",
     "page_all": "SELECT *, replace(t0, ' Vol ', ' & Vol ') AS title FROM page_src",
     "page_ok": "SELECT page_id, path, artist, title, year FROM page_all WHERE status = 'ok'",
     "page_tracks": """SELECT page_id, upper(p_name || ' ' || l_suppkey) AS title, pos FROM page_all
@@ -244,5 +258,5 @@ VIEWS = {
             + CASE WHEN p.year = CAST(r.year AS VARCHAR) THEN 0.5 ELSE 0 END) / 3 AS confidence
         FROM cand JOIN page_ok p USING (page_id) JOIN cat_releases r ON r.id = release_id
         JOIN lev_artist USING (page_id, release_id) LEFT JOIN lev_track USING (page_id, release_id)
-        JOIN n_page USING (page_id) JOIN n_cat USING (release_id)""",
+        LEFT JOIN n_page USING (page_id) LEFT JOIN n_cat USING (release_id)""",
 }

@@ -139,7 +139,7 @@ def hop_shared_contributor(spark, sf):
 
 
 @query("hop_label", _hop_sql(
-    "src_label JOIN label_degree ON hub = label_id WHERE degree < 1000", "round(1 / ln(degree), 6)::DOUBLE", 2))
+    "src_label JOIN label_degree ON hub = label_id", "round(1 / ln(degree), 6)::DOUBLE", 2))
 def hop_label(spark, sf):
     return _rounded(g.hop_label(t.graph(spark, sf), t.sources(spark, sf)))
 
@@ -164,13 +164,13 @@ def hop_similar_artist(spark, sf):
 @query("union_hops", """SELECT DISTINCT s AS source_id, r2 AS release_id, round(weight, 6)::DOUBLE AS weight, hops
     FROM one_rows""")
 def union_hops(spark, sf):
-    return _rounded(g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf))).distinct()
+    return _rounded(g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE)).distinct()
 
 
 @query("union_all_hops", """SELECT s AS source_id, r2 AS release_id, count(*) AS n_rows,
     round(sum(weight), 6)::DOUBLE AS total FROM one_rows GROUP BY s, r2""")
 def union_all_hops(spark, sf):
-    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf))
+    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE)
     return rows.groupBy("source_id", "release_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("weight"), 6).alias("total")
     )
@@ -179,7 +179,7 @@ def union_all_hops(spark, sf):
 @query("min_distance", """SELECT s AS source_id, r2 AS release_id, round(min(weight), 6)::DOUBLE AS bacon_distance,
     min(hops) AS hops FROM one_rows GROUP BY s, r2""")
 def min_distance(spark, sf):
-    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf))
+    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE)
     return g.min_distance(rows, "source_id", "release_id").withColumn(
         "bacon_distance", F.round("bacon_distance", 6)
     )
@@ -200,7 +200,7 @@ def find_similar_releases(spark, sf):
 @query("topn_by_distance", """SELECT r2 AS release_id, round(min(weight), 6)::DOUBLE AS bacon_distance,
     min(hops) AS hops FROM one_rows GROUP BY r2 ORDER BY min(weight), 3, 1 LIMIT 20""")
 def topn_by_distance(spark, sf):
-    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf))
+    rows = g.all_hops(t.graph(spark, sf), t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE)
     near = g.min_distance(rows, "release_id")
     return recommend.top(near, 20, "bacon_distance", "hops", "release_id").withColumn(
         "bacon_distance", F.round("bacon_distance", 6)
@@ -218,9 +218,8 @@ _OVERLAP = {
         FROM released_on JOIN label_degree USING (label_id) GROUP BY release_id""",
     "src_rows": """SELECT s, r2, 1.5::DOUBLE AS weight, 1 AS hops FROM src_same
         UNION ALL SELECT s, r2, 1.0::DOUBLE, 1 FROM src_shared
-        UNION ALL SELECT s, r2, 1 / ln(degree), 2 FROM src_label JOIN label_degree ON hub = label_id WHERE degree < 1000
-        UNION ALL SELECT s, r2, 1 / ln(degree), 2 FROM src_producer JOIN producer_degree ON hub = producer_id
-            WHERE degree < 1000""",
+        UNION ALL SELECT s, r2, 1 / ln(degree), 2 FROM src_label JOIN label_degree ON hub = label_id
+        UNION ALL SELECT s, r2, 1 / ln(degree), 2 FROM src_producer JOIN producer_degree ON hub = producer_id""",
     "deep_rows": """SELECT s, r2, weight, hops FROM src_rows
         UNION ALL SELECT s, r2, 2.0::DOUBLE, 2 FROM src_shared JOIN released_on ON release_id = r2
         UNION ALL SELECT s, r2, 2.5::DOUBLE, 3 FROM src_similar JOIN released_on ON release_id = r2""",
@@ -433,15 +432,11 @@ def topn_by_predicted(spark, sf):
 # --- expansion --------------------------------------------------------------------------
 
 _BFS = {
-    "artist_page": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY release_id) AS pos
-        FROM contributed_to) WHERE pos <= 20""",
-    "label_page": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY release_id) AS pos
-        FROM released_on) WHERE pos <= 250""",
-    "level1": """SELECT DISTINCT release_id, 1 AS depth FROM artist_page JOIN sources USING (artist_id)
+        "level1": """SELECT DISTINCT release_id, 1 AS depth FROM contributed_to JOIN sources USING (artist_id)
         WHERE release_id NOT IN (SELECT release_id FROM seeds)""",
-    "level2": """SELECT DISTINCT release_id, 2 AS depth FROM label_page JOIN seed_labels USING (label_id)
+    "level2": """SELECT DISTINCT release_id, 2 AS depth FROM released_on JOIN seed_labels USING (label_id)
         WHERE release_id NOT IN (SELECT release_id FROM seeds UNION ALL SELECT release_id FROM level1)""",
-    "level3": """SELECT DISTINCT p.release_id, 3 AS depth FROM artist_page p WHERE p.artist_id IN (
+    "level3": """SELECT DISTINCT p.release_id, 3 AS depth FROM contributed_to p WHERE p.artist_id IN (
             SELECT artist_id FROM contributed_to WHERE release_id IN (
                 SELECT release_id FROM seeds UNION ALL SELECT release_id FROM level2))
         AND release_id NOT IN (SELECT release_id FROM seeds UNION ALL SELECT release_id FROM level1
@@ -470,7 +465,8 @@ def _joined(frame):
     return frame
 
 
-@query("cap_per_artist", "SELECT artist_id, release_id FROM artist_page", _BFS)
+@query("cap_per_artist", """SELECT artist_id, release_id FROM (SELECT *, row_number() OVER
+    (PARTITION BY artist_id ORDER BY release_id) AS pos FROM contributed_to) WHERE pos <= 20""")
 def cap_per_artist(spark, sf):
     graph = t.graph(spark, sf)
     return expand.cap_per_artist(graph, graph.contributed_to.select("artist_id").distinct())

@@ -363,11 +363,13 @@ _WANTED = {
     # a remote title: the file's name without its id; of cheap files only the title part is known
     "titles": """SELECT DISTINCT release, CASE WHEN size > 20000 THEN regexp_replace(track, '-[0-9]+.mp3', '')
         ELSE 'x - ' || track END AS wanted FROM audio""",
-    "wants": """SELECT release, wanted, trim(wanted) AS prefix FROM titles
-        UNION SELECT release, wanted, trim(CASE WHEN contains(wanted, '-') THEN wanted[strpos(wanted, '-') + 1:] ELSE '' END)
+    "wants": """SELECT release, wanted, 0 AS form, trim(wanted) AS prefix FROM titles
+        UNION SELECT release, wanted, 1, trim(CASE WHEN contains(wanted, '-') THEN wanted[strpos(wanted, '-') + 1:] ELSE '' END)
         FROM titles""",
-    "pairs": """SELECT DISTINCT release, wanted, file FROM wants JOIN file_list USING (release)
+    "tried": """SELECT release, wanted, form, file FROM wants JOIN file_list USING (release)
         WHERE prefix <> '' AND starts_with(file, prefix)""",
+    "pairs": """SELECT DISTINCT release, wanted, file FROM tried
+        JOIN (SELECT release, wanted, min(form) AS form FROM tried GROUP BY release, wanted) USING (release, wanted, form)""",
 }
 
 
@@ -440,13 +442,13 @@ def track_id_from_path(spark, sf):
     return t.audio(spark, sf).select("path").distinct().withColumn("track_id", text.track_id(F.col("path")))
 
 
-# A title case name made of the whole first line of a document, upper-cased for some languages.
+# A name made of the whole text of a document, upper-cased for some languages.
 _NAMES = """SELECT doc_id, doc_id || '. ' || CASE WHEN lang = 'en' THEN upper(t) ELSE t END || '-' || n_chars || '.mp3' AS name
-    FROM (SELECT *, regexp_replace(split_part(text, chr(10), 1), '[^ A-Za-z]', '', 'g') AS t FROM documents)"""
+    FROM (SELECT *, regexp_replace(text, '[^ A-Za-z]', '', 'g') AS t FROM documents)"""
 
 
 def _names(spark, sf):
-    t_ = F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^ A-Za-z]", "")
+    t_ = F.regexp_replace("text", "[^ A-Za-z]", "")
     shown = F.when(F.col("lang") == "en", F.upper(t_)).otherwise(t_)
     return t.table(spark, sf, "documents").select(
         "doc_id", F.concat("doc_id", F.lit(". "), shown, F.lit("-"), "n_chars", F.lit(".mp3")).alias("name")

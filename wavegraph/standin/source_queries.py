@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavegraph.operators.playlist import AUDIO_ENDINGS
+from wavegraph.operators.ordering import number_rows
 from wavegraph.plans import correlate
 from wavegraph.session import scratch_path
 from wavegraph.sources import catalog as xml
@@ -23,9 +24,10 @@ def _written(spark, frame, name, writer):
 
 
 _DOCS = """SELECT id, title, released, o_custkey AS master_id, count(*) FILTER (l_returnflag = 'N') AS n_artists,
-    count(*) FILTER (l_returnflag <> 'N') AS n_extra, count(*) AS n_tracks, string_agg(p_type, '|' ORDER BY pos) AS genres,
+    count(*) FILTER (l_returnflag <> 'N') AS n_extra, count(pos) AS n_tracks,
+    coalesce(string_agg(p_type, '|' ORDER BY pos), '') AS genres,
     min_by(p_name || ' ' || l_suppkey, pos) AS first_track, 'C' || id AS catno
-    FROM doc_head JOIN line_base USING (id) GROUP BY id, title, released, o_custkey"""
+    FROM doc_head LEFT JOIN line_base USING (id) GROUP BY id, title, released, o_custkey"""
 
 
 def _doc_summary(docs):
@@ -33,19 +35,19 @@ def _doc_summary(docs):
         "id", "title", F.coalesce("released", F.lit("")).alias("released"), "master_id",
         F.size("artists").cast("bigint").alias("n_artists"), F.size("extraartists").cast("bigint").alias("n_extra"),
         F.size("tracks").cast("bigint").alias("n_tracks"), F.array_join("genres", "|").alias("genres"),
-        F.col("tracks")[0]["title"].alias("first_track"), F.col("labels")[0]["catno"].alias("catno"),
+        F.get("tracks", F.lit(0))["title"].alias("first_track"), F.col("labels")[0]["catno"].alias("catno"),
     )
 
 
 @query("scan_catalog_xml", _DOCS, V)
 def scan_catalog_xml(spark, sf):
-    path = _written(spark, corpus.documents(spark, sf), "dump", xml.write_catalog_xml)
+    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
     return _doc_summary(xml.scan_catalog_xml(spark, path))
 
 
 @query("scan_small_catalog_xml", _DOCS, V)
 def scan_small_catalog_xml(spark, sf):
-    path = _written(spark, corpus.documents(spark, sf), "dump", xml.write_catalog_xml)
+    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
     return _doc_summary(xml.scan_small_catalog_xml(spark, path))
 
 
@@ -68,12 +70,12 @@ def scan_release_json(spark, sf):
     return both.select("release_id", "discogs_url", F.array_join("source_ids", "|").alias("source_ids"))
 
 
-@query("scan_url_list", "SELECT url FROM pages WHERE url LIKE 'https://%'")
+@query("scan_url_list", "SELECT url FROM pages")
 def scan_url_list(spark, sf):
     def write(frame, path):
         frame.select(F.explode(F.array(F.concat(F.lit(" "), "url"), F.lit(""))).alias("value")).write.text(path)
 
-    return src.scan_url_list(spark, _written(spark, t.table(spark, sf, "pages"), "urls", write), https_only=True)
+    return src.scan_url_list(spark, _written(spark, t.table(spark, sf, "pages"), "urls", write))
 
 
 @query("scan_listen_log", """SELECT label, release, tag, seconds, files, who, CAST(CASE WHEN files <> 4 THEN day END AS VARCHAR) AS day,
@@ -156,9 +158,11 @@ def feed_columns(spark, sf):
     ).distinct()
 
 
-@query("latest_first_feed", "SELECT md5(path) AS guid, time FROM audio ORDER BY time DESC, guid, size, duration LIMIT 100")
+@query("latest_first_feed", """SELECT row_number() OVER (ORDER BY time DESC, md5(path), size, duration) AS place,
+    md5(path) AS guid, time FROM audio""")
 def latest_first_feed(spark, sf):
-    return _feed(spark, sf).limit(100).select("guid", "time")
+    items = _feed(spark, sf).withColumn("_back", -F.col("time"))
+    return number_rows(items, [], ["_back", "guid", "size", "duration"], "place").select("place", "guid", "time")
 
 
 @query("share_feed_items", """SELECT count(*) AS items, count(DISTINCT path) AS guids, CAST(sum(size) AS BIGINT) AS bytes FROM audio""")

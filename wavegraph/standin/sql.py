@@ -106,5 +106,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    heads = ",\n".join(f"{name} AS ({views[name]})" for name in order)
+    heads = ",\n".join(f"{name} AS MATERIALIZED ({views[name]})" for name in order)
     return f"WITH {heads}\n{body}"
