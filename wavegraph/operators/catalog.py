@@ -159,6 +159,26 @@ def build_graph(docs: DataFrame, producer_roles: list[str]) -> dict[str, DataFra
     }
 
 
+def graph_nodes(docs: DataFrame, producer_roles: list[str]) -> DataFrame:
+    """(kind, id, name) of the graph's nodes: release, artist, label, producer; the first name seen counts."""
+    main = _items(docs, "artists", "id", "name").withColumn("role", F.lit(None).cast("string"))
+    extra = _items(docs, "extraartists", "id", "name", "role")
+    people = main.withColumn("late", F.lit(0)).unionByName(extra.withColumn("late", F.lit(1)))
+    labels = _items(docs, "labels", "id", "name").withColumn("name", clean_label_name(F.col("name"))).where("name IS NOT NULL")
+
+    def named(rows: DataFrame, kind: str, *order: str) -> DataFrame:
+        valid = rows.withColumn("id", clean_id(F.col("id"))).where("id IS NOT NULL AND name IS NOT NULL AND name <> ''")
+        best = valid.groupBy("id").agg(F.min_by("name", F.struct("release_id", *order, "pos")).alias("name"))
+        return best.select(F.lit(kind).alias("kind"), "id", "name")
+
+    releases = docs.groupBy("id").agg(F.min("title").alias("name")).select(F.lit("release").alias("kind"), "id", "name")
+    makers = people.where(F.col("role").isin(producer_roles))
+    return (
+        releases.unionByName(named(people, "artist", "late")).unionByName(named(labels, "label"))
+        .unionByName(named(makers, "producer", "late"))
+    )
+
+
 def rank_feature(docs: DataFrame, feature: str, top_n: int | None = None) -> DataFrame:
     """(feature, n): how often a label, artist, extraartist or label_id occurs, repeats in a release included."""
     if feature in ("label", "label_id"):

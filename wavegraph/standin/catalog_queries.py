@@ -9,7 +9,7 @@ from wavegraph.operators import catalog, matching, pages
 from wavegraph.operators.listening import with_store_url
 from wavegraph.plans import correlate
 from wavegraph.sources import catalog as xml
-from wavegraph.session import materialize
+from wavegraph.session import materialize, scratch_path
 from wavegraph.standin import corpus
 from wavegraph.standin import tables as t
 from wavegraph.standin.log_queries import _DOMAINS, _URL, domains
@@ -85,11 +85,21 @@ def normalize_catalog_wide(spark, sf):
     return _long({name: frame for name, frame in wide.items() if name not in core})
 
 
+@query("build_graph_nodes", """SELECT 'release' AS kind, id, title AS name FROM doc_head
+    UNION ALL SELECT DISTINCT 'artist', l_partkey, artist FROM line_base WHERE l_partkey <> 0
+    UNION ALL SELECT DISTINCT 'label', o_custkey, name FROM doc_head JOIN label_name ON o_custkey = label_id
+        WHERE o_custkey <> 0 AND name <> 'Not On Label'
+    UNION ALL SELECT DISTINCT 'producer', l_partkey, artist FROM line_base WHERE l_partkey <> 0 AND l_returnflag = 'A'""", V)
+def build_graph_nodes(spark, sf):
+    return catalog.graph_nodes(corpus.documents(spark, sf), ["Producer"])
+
+
 @query("build_graph", """SELECT DISTINCT 'contributed_to' AS edge, id AS release_id, l_partkey AS node FROM line_base WHERE l_partkey <> 0
     UNION ALL SELECT 'released_on', id, o_custkey FROM doc_head JOIN label_name ON o_custkey = label_id
         WHERE o_custkey <> 0 AND name <> 'Not On Label'
     UNION ALL SELECT DISTINCT 'produced_by', id, l_partkey FROM line_base WHERE l_partkey <> 0 AND l_returnflag = 'A'""", V)
 def build_graph(spark, sf):
+    """The edges; ``build_graph_nodes`` has the nodes."""
     edges = catalog.build_graph(corpus.documents(spark, sf), ["Producer"])
     out = None
     for name, frame in edges.items():
@@ -400,10 +410,22 @@ def correlation_summary(spark, sf):
     return out.withColumn("rate", F.round("rate", 6))
 
 
-@query("scan_catalog_tables", "SELECT id, title, year FROM cat_releases", V)
+@query("scan_catalog_tables", """SELECT r.id, r.title, r.year, coalesce(a.n, 0) AS n_artists, a.name AS first_artist,
+    coalesce(k.n, 0) AS n_tracks, k.title AS least_title FROM cat_releases r
+    LEFT JOIN (SELECT release_id, count(*) AS n, min(name) AS name FROM cat_links JOIN cat_artists ON id = artist_id GROUP BY 1) a
+        ON a.release_id = r.id
+    LEFT JOIN (SELECT release_id, count(*) AS n, min(title) AS title FROM cat_tracks GROUP BY 1) k ON k.release_id = r.id""", V)
 def scan_catalog_tables(spark, sf):
-    from wavegraph.session import scratch_path
-
+    """All four tables written, read again and joined."""
     path = scratch_path(spark, "catalog")
+    names = ["releases", "release_artists", "artists", "tracks"]
     xml.write_catalog(corpus.match_catalog(spark, sf), path)
-    return xml.scan_catalog_tables(spark, path, ["releases"])["releases"]
+    found = xml.scan_catalog_tables(spark, path, names)
+    artists = found["release_artists"].join(found["artists"].withColumnRenamed("id", "artist_id"), "artist_id").groupBy(
+        F.col("release_id").alias("id")
+    ).agg(F.count(F.lit(1)).alias("n_artists"), F.min("name").alias("first_artist"))
+    tracks = found["tracks"].groupBy(F.col("release_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_tracks"), F.min("title").alias("least_title")
+    )
+    joined = found["releases"].select("id", "title", "year").join(artists, "id", "left").join(tracks, "id", "left")
+    return joined.fillna({"n_artists": 0, "n_tracks": 0})

@@ -344,7 +344,7 @@ def aggregate_recommendations_deep(spark, sf):
     GROUP BY r2 ORDER BY min(weight), 2, 1 LIMIT 20"""})
 def enrich_top_n(spark, sf):
     graph = t.graph(spark, sf)
-    near = g.min_distance(g.all_hops(graph, t.seed_artists(spark, sf)), "release_id")
+    near = g.min_distance(g.all_hops(graph, t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE), "release_id")
     best = recommend.top(near, 20, "bacon_distance", "hops", "release_id").select("release_id", "hops")
     return _flat(recommend.enrich(
         graph, best, t.releases(spark, sf), t.artist_names(spark, sf), t.label_names(spark, sf)

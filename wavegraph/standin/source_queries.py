@@ -10,10 +10,10 @@ from wavegraph.plans import correlate
 from wavegraph.session import scratch_path
 from wavegraph.sources import catalog as xml
 from wavegraph.sources import text as src
-from wavegraph.standin import corpus
+from wavegraph.standin import corpus, graph_queries
 from wavegraph.standin import tables as t
 from wavegraph.standin.catalog_queries import V
-from wavegraph.standin.registry import query
+from wavegraph.standin.registry import ORACLE, query
 from wavegraph.streaming import listens as streams
 
 
@@ -206,10 +206,15 @@ def scan_audio_listing(spark, sf):
     return listing.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("owner"), "length")
 
 
-@query("write_recommendations_json", "SELECT release_id, title FROM releases")
+@query("write_recommendations_json")
 def write_recommendations_json(spark, sf):
-    path = _written(spark, t.releases(spark, sf), "json", xml.write_recommendations_json)
-    return spark.read.schema("release_id BIGINT, title STRING").json(path)
+    """The ranked recommendations, written and read again."""
+    ranked = graph_queries.aggregate_recommendations(spark, sf)
+    path = _written(spark, ranked, "json", xml.write_recommendations_json)
+    return spark.read.schema(ranked.schema).json(path)
+
+
+ORACLE["write_recommendations_json"] = ORACLE["aggregate_recommendations"]
 
 
 # --- streams ----------------------------------------------------------------------------
