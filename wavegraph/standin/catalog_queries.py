@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavegraph.functions import text
+from wavegraph.functions.ids import release_web_url
 from wavegraph.operators import catalog, matching, pages
 from wavegraph.operators.listening import with_store_url
 from wavegraph.plans import correlate
@@ -402,6 +403,36 @@ def correlate_pages_lev(spark, sf):
     )
 
 
+_STATE = {
+    **V,
+    "was_matched": """SELECT path AS stub, 'https://www.discogs.com/release/' || known.release_id AS url
+        FROM known JOIN orders ON o_orderkey = known.release_id WHERE o_orderstatus = 'F'""",
+    "was_failed": """SELECT path AS stub FROM known JOIN orders ON o_orderkey = known.release_id
+        WHERE o_orderpriority = '5-LOW'""",
+    "new_page": """SELECT page_id, replace(path, '/page.html', '') AS stub FROM page_all
+        WHERE replace(path, '/page.html', '') NOT IN (SELECT stub FROM was_matched UNION ALL SELECT stub FROM was_failed)""",
+    "now_matched": f"""SELECT stub, url FROM was_matched
+        UNION ALL SELECT stub, 'https://www.discogs.com/release/' || release_id FROM new_page JOIN ({_BEST}) USING (page_id)""",
+}
+
+
+@query("correlate_new_pages", """SELECT stub, url FROM now_matched
+    UNION ALL SELECT stub, NULL FROM (SELECT stub FROM was_failed UNION SELECT stub FROM new_page)
+        WHERE stub NOT IN (SELECT stub FROM now_matched)""", _STATE)
+def correlate_new_pages(spark, sf):
+    """The state after a run over all pages; some of them were known before."""
+    stubs = t.known(spark, sf).join(
+        t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("release_id"), "o_orderstatus", "o_orderpriority"), "release_id"
+    )
+    matched = stubs.where("o_orderstatus = 'F'").select(F.col("path").alias("stub"), release_web_url(F.col("release_id")).alias("url"))
+    failed = stubs.where("o_orderpriority = '5-LOW'").select(F.col("path").alias("stub"))
+    shown = pages.parsed_pages(corpus.release_pages(spark, sf)).withColumn("stub", F.replace("path", F.lit("/page.html"), F.lit("")))
+    _, matched, failed = correlate.correlate_new_pages(
+        shown, corpus.match_catalog(spark, sf), matched, failed, F.lit("2024-01-01").cast("timestamp"), text.string_similarity_lev
+    )
+    return matched.select("stub", "url").unionByName(failed.select("stub", F.lit(None).cast("string").alias("url")))
+
+
 @query("correlation_summary", f"""SELECT count(*) AS total, count(b.page_id) AS matched, count(*) - count(b.page_id) AS failed,
     round(count(b.page_id) / count(*), 6)::DOUBLE AS rate FROM pages p LEFT JOIN ({_BEST}) b USING (page_id)""", V)
 def correlation_summary(spark, sf):
