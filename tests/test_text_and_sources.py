@@ -135,3 +135,16 @@ def test_the_part_after_the_dash_counts_only_without_a_full_match(spark):
     pairs, report = playlist.playlist_file_match(titles, files)
     assert {tuple(r) for r in pairs.collect()} == {("r", "A - B", "A - B-1.mp3"), ("r", "C - D", "D-3.mp3")}
     assert {tuple(r) for r in report.collect()} == {("r", 2, 2, True), ("q", 1, 0, False)}
+
+
+def test_links_of_every_kind(spark):
+    from wavegraph.operators import pages
+
+    html = (
+        '<a href="https://x.example/track/one">1</a><a href="https://x.example/track/one">again</a><a href="/album/a">a</a>'
+        '<a href="https://a.example/details/item">d</a><div data-href="/v/clip.MP4"></div><div data-href="/v/page"></div>'
+    )
+    frame = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string")
+    found = {k: sorted(r.link for r in pages.page_links(frame, k).collect()) for k in pages.LINKS}
+    assert found["track"] == ["https://x.example/track/one"] and found["details"] == ["https://a.example/details/item"]
+    assert found["video"] == ["/v/clip.MP4"] and len(found["any"]) == 5

@@ -19,7 +19,12 @@ PAGE_DATE = r"(release[sd]) ([A-Z][a-z]+ [0-9]{1,2}, 20[0-9]{2})"
 ALBUM_TRACK = r'track-title">(.*?)<'
 SINGLE_TRACK = r'trackTitle">(.*?)<'
 ART_URL = r"popupImage[^>]*?(https:[^\"'\s]*[jp][pn]g)"
-VIDEO_LINK = r'(?i)data-href="([^"]*(?:mp4|avi|mkv|flv))"'
+LINKS = {
+    "any": r'href="([^"]*)"',
+    "track": r'href="([^"]*/track/[^"]*)"',
+    "details": r'href="([^"]*/details/[^"]*)"',
+    "video": r'(?i)data-href="([^"]*(?:mp4|avi|mkv|flv))"',
+}
 
 EMBEDDED_SCHEMA = (
     "artist STRING, album_release_date STRING, current STRUCT<title: STRING, about: STRING, release_date: STRING>, "
@@ -83,6 +88,11 @@ def page_release_date(html: Column) -> tuple[Column, Column]:
     return day, F.regexp_extract(html, PAGE_DATE, 1) == "releases"
 
 
+def is_album(url: Column) -> Column:
+    """Whether the address is that of an album; others show a single track, in another form."""
+    return F.coalesce(F.contains(url, F.lit("album")), F.lit(False))
+
+
 def page_track_titles(html: Column, is_album: Column) -> Column:
     """The track titles that the page shows."""
     flat = F.regexp_replace(html, "\n", " ")
@@ -117,9 +127,10 @@ def art_url(html: Column) -> Column:
     return _found(html, ART_URL)
 
 
-def page_links(pages: DataFrame, pattern: str = r'href="([^"]*)"') -> DataFrame:
-    """(page_id, link), distinct: what the pattern's group finds in the page."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("link")).distinct()
+def page_links(pages: DataFrame, kind: str = "any") -> DataFrame:
+    """(page_id, link), distinct: the links of a kind of ``LINKS`` in the page."""
+    found = F.regexp_extract_all("html", F.lit(LINKS[kind]), F.lit(1))
+    return pages.select("page_id", F.explode(found).alias("link")).distinct()
 
 
 def status_counts(parsed: DataFrame) -> DataFrame:
@@ -127,7 +138,7 @@ def status_counts(parsed: DataFrame) -> DataFrame:
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """One row per page with everything its HTML tells; the text is read once."""
+    """One row per page (page_id, url, html) with everything its HTML tells; the text is read once."""
     day, future = page_release_date(F.col("html"))
     return (
         embedded_release(parsed_pages(pages))
@@ -135,7 +146,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         .withColumn("page_date", day)
         .withColumn("future", future)
         .withColumn("art_url", art_url(F.col("html")))
-        .withColumn("shown_tracks", page_track_titles(F.col("html"), F.lit(True)))
+        .withColumn("shown_tracks", page_track_titles(F.col("html"), is_album(F.col("url"))))
         .drop("html")
     )
 
@@ -171,9 +182,11 @@ def crawl_frontier(links: DataFrame, manifest: DataFrame, as_of: Column) -> Data
 
 def release_info(releases: DataFrame, pages: DataFrame, audio: DataFrame) -> DataFrame:
     """Per release (path, url): dates and track titles of its page, number and size of its files."""
-    shown = page_track_titles(F.col("html"), F.lit(True))
+    shown = page_track_titles(F.col("html"), is_album(F.col("url")))
     day, _ = page_release_date(F.col("html"))
-    told = pages.select("path", day.alias("released_on"), F.size(shown).alias("n_tracks"), F.get(shown, F.lit(0)).alias("first_track"))
+    told = pages.select("path", "html").join(releases.select("path", "url"), "path").select(
+        "path", day.alias("released_on"), F.size(shown).alias("n_tracks"), F.get(shown, F.lit(0)).alias("first_track")
+    )
     files = audio.select(F.concat_ws("/", "label", "release").alias("path"), "size").groupBy("path").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes")
     )

@@ -195,6 +195,13 @@ def page_track_titles(spark, sf):
     )
 
 
+@query("page_single_title", "SELECT page_id, title FROM page_tracks WHERE pos = 1", V)
+def page_single_title(spark, sf):
+    return corpus.release_pages(spark, sf).select(
+        "page_id", F.explode(pages.page_track_titles(F.col("html"), F.lit(False))).alias("title")
+    )
+
+
 @query("page_links", """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages""")
 def page_links(spark, sf):
     return pages.page_links(t.table(spark, sf, "pages").select("page_id", "html"))
@@ -289,7 +296,8 @@ def labels_without_links(spark, sf):
 
 
 @query("release_info", f"""SELECT k.path, {_URL} AS url, CASE WHEN p.page_id IS NOT NULL THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS released_on,
-    CASE WHEN p.page_id IS NOT NULL THEN coalesce(np, 0) END AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes
+    CASE WHEN p.page_id IS NULL THEN NULL WHEN {_URL} LIKE '%album%' THEN coalesce(np, 0)
+        WHEN ft.title IS NULL THEN 0 ELSE 1 END AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes
     FROM known k LEFT JOIN release_domain r USING (path) LEFT JOIN label_domain d USING (label)
     LEFT JOIN page_all p ON p.page_id = k.release_id LEFT JOIN n_page np ON np.page_id = p.page_id
     LEFT JOIN page_tracks ft ON ft.page_id = p.page_id AND ft.pos = 1

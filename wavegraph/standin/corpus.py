@@ -184,7 +184,8 @@ def _release_pages(spark, sf) -> DataFrame:
         .when(F.contains("body", F.lit('lang="es"')), "<p>Sorry, that something isn't here</p>")
         .otherwise(described)
     )
-    track_spans = F.array_join(F.transform(names, lambda n: F.concat(F.lit('<span class="track-title"> '), n, F.lit("</span>"))), "")
+    single = F.concat(F.lit('<h2 class="trackTitle"> '), F.get(names, F.lit(0)), F.lit("</h2>"))
+    track_spans = F.concat(F.coalesce(single, F.lit("")), F.array_join(F.transform(names, lambda n: F.concat(F.lit('<span class="track-title"> '), n, F.lit("</span>"))), ""))
     data = F.to_json(F.struct(
         F.col("artist"), F.lit("").alias("album_release_date"),
         F.struct(title.alias("title"), F.lit("about it").alias("about"), F.date_format("o_orderdate", "yyyy").alias("release_date")).alias("current"),
