@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wavegraph.llm.common import batched, mix, raw, slices
 from wavegraph.session import materialize
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_WORDS = 1_000_000
 LAST = np.iinfo(np.int64).max
 SENT = "block long, bucket long, data binary"

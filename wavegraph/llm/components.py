@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wavegraph.session import materialize
 
+# So many links, of two numbers each, are few enough for one task; the steps then need no shuffle.
+FEW = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the least node reachable.
@@ -19,12 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
     )
+    few = edges.count() <= FEW
     state = None
     while True:
+        edges = edges.coalesce(1) if few else edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(large).coalesce(1) if few else materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))

@@ -184,23 +184,29 @@ def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common): how many shingles the two sets of each pair share. Only sets that occur in a pair are sent."""
+    """(a, b, an, bn, common): the sizes of the two sets of each pair, and how many shingles they share.
+
+    Only sets that occur in a pair are sent.
+    """
     involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     sent = sets.join(small_side(involved, involved.count()), "row", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], names=["a", "b", "common"])
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                found.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            numbers = np.array(found, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *map(pa.array, numbers)], names=["a", "b", "an", "bn", "common"]
+            )
 
     joined = (
         pairs.select("a", "b").join(sent.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sent.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     )
-    return materialize(batched(joined.select("a", "b", "x", "y")).mapInArrow(count, "a long, b long, common long"))
+    return materialize(batched(joined.select("a", "b", "x", "y")).mapInArrow(count, "a long, b long, an long, bn long, common long"))
 
 
 def _near(similarity: int, left: str = "", right: str = "p_") -> str:
@@ -235,12 +241,11 @@ def groups(
         .where(_near(similarity)).select(F.col("row").alias("a"), F.col("pivot").alias("b"), "n", "p_n")
     )
     star = materialize(star)
-    size = facts.select(F.col("row"), F.col("n"))
 
     def linked(measured: DataFrame) -> DataFrame:
-        with_n = measured.join(size.select(F.col("row").alias("a"), F.col("n").alias("an")), "a")
-        with_n = with_n.join(size.select(F.col("row").alias("b"), F.col("n").alias("bn")), "b")
-        return with_n.where(F.col("common") * 100 >= F.lit(similarity) * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b", "common")
+        return measured.where(
+            F.col("common") * 100 >= F.lit(similarity) * (F.col("an") + F.col("bn") - F.col("common"))
+        ).select("a", "b", "common")
 
     from_pivot = _measured(star, sets)
     first = materialize(linked(from_pivot))
@@ -248,18 +253,17 @@ def groups(
     # What the pivots leave: regions with texts of several groups, and the pairs between the groups.
     grouped = placed.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = grouped.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
-    distance = from_pivot.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "common")
-    left = grouped.join(mixed, "region", "left_semi").join(distance, ["row", "pivot"], "left").join(facts, "row").join(
-        size.select(F.col("row").alias("pivot"), F.col("n").alias("pn")), "pivot"
+    distance = from_pivot.select(
+        F.col("a").alias("row"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("far")
     )
-    far = F.when(F.col("row") == F.col("pivot"), F.lit(0.0)).when(
-        F.col("common").isNotNull(), 1 - F.col("common") / (F.col("n") + F.col("pn") - F.col("common"))
+    left = (
+        grouped.where("row != pivot").join(mixed, "region", "left_semi").join(distance, ["row", "pivot"], "left").join(facts, "row")
     )
-    left = materialize(left.select("region", "row", "root", "n", "sketch", (F.col("row") == F.col("pivot")).alias("is_pivot"), far.alias("far")))
-    right = left.select(F.col("region").alias("p_region"), *(F.col(c).alias(f"p_{c}") for c in ("row", "root", "n", "sketch", "is_pivot", "far")))
+    left = materialize(left.select("region", "row", "root", "n", "sketch", "far"))
+    right = left.select(F.col("region").alias("p_region"), *(F.col(c).alias(f"p_{c}") for c in ("row", "root", "n", "sketch", "far")))
     radius = (100 - similarity) / 100 + 1e-9
     test = (
-        f"region = p_region AND row < p_row AND root != p_root AND NOT is_pivot AND NOT p_is_pivot AND {_near(similarity)} "
+        f"region = p_region AND row < p_row AND root != p_root AND {_near(similarity)} "
         f"AND (far IS NULL OR p_far IS NULL OR abs(far - p_far) <= {radius})"
     )
     between = left.join(right, F.expr(test)).select(F.col("row").alias("a"), F.col("p_row").alias("b")).distinct()
