@@ -55,7 +55,8 @@ def test_decontaminate(spark, docs, rows, shard_words):
 def test_decontaminate_results(spark, docs, none):
     bench = spark.createDataFrame([(1, "one two"), (2, "stone light walk green under house talk seven winter paper salt open road blue")], "item_id long, text string")
     assert decontaminate.scan(none, bench).count() == 0
-    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+    same = decontaminate.drop_contaminated(docs, bench.limit(0))
+    assert same.count() == docs.count() and same.schema == docs.schema
     long = "x " * 300 + "Stone, light walk green under house talk seven winter paper salt open road blue! " + "y " * 300
     kept = decontaminate.cut_spans(spark.createDataFrame([(1, long), (2, "one two")], "doc_id long, text string"), bench).collect()
     assert [r["doc_id"] for r in kept] == [1] and "light" not in kept[0]["text"] and kept[0]["text"].split().count("y") == 300

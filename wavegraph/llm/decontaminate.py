@@ -226,8 +226,9 @@ def scan(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    return scan(docs, items, **options).where(~F.col("hit.contaminated")).drop("hit")
+    """The documents that are not contaminated, unchanged, with all their columns."""
+    found = scan(docs.withColumnRenamed("hit", "_their_hit"), items, **options)
+    return found.where(~F.col("hit.contaminated")).drop("hit").withColumnRenamed("_their_hit", "hit")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
