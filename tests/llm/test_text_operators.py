@@ -62,6 +62,24 @@ def test_decontaminate_results(spark, docs, none):
     assert [r["doc_id"] for r in kept] == [1] and "light" not in kept[0]["text"] and kept[0]["text"].split().count("y") == 300
 
 
+def test_decontaminate_window_over_several_short_hits(spark):
+    """A window of a long item closes over hits of short items that do not touch each other."""
+    long = "a b ok c d e f ok g h i j k l m"
+    rng = random.Random(7)
+    items = [(1, "ok"), (2, long), (3, "e f")] + [(10 + k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 14, 20])))) for k in range(6)]
+    texts = [long, "x " * 5 + long + " y ok z", "ok z " * 4 + long] + [" ".join(rng.choice("abcdefghz") for _ in range(40)) for _ in range(20)]
+    texts += [f"{items[k][1]} z {items[-k][1]} ok" for k in range(1, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for used in (items[:2], items[:3], items):
+        found = decontaminate.scan(docs, spark.createDataFrame(used, "item_id long, text string")).collect()
+        for r in found:
+            n, hit, names = cases.contaminated_words(r["text"], used, 13)
+            assert (r["hit"]["n_words"], r["hit"]["n_hit"], set(r["hit"]["items"])) == (n, hit, names)
+            spans = r["hit"]["spans"]
+            assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and sum(e - s for s, e in spans) == r["hit"]["n_hit"]
+    assert len(found) == len(texts)
+
+
 def test_substring_dedup(docs, rows, none):
     found = substring_dedup.dedup(docs).collect()
     first: dict[tuple, float] = {}

@@ -130,7 +130,7 @@ class Automaton:
                         items |= names
                         if spans and at - size + 1 <= spans[-1][1]:
                             while len(spans) > 1 and at - size + 1 <= spans[-2][1]:
-                                spans[-2][1] = spans.pop()[1]
+                                spans.pop()
                             spans[-1] = [min(spans[-1][0], at - size + 1), at + 1]
                         else:
                             spans.append([at - size + 1, at + 1])
