@@ -242,3 +242,24 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = docs.groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in mixed} <= clean and max(r["count"] for r in mixed) <= 2
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_of_five_words(spark):
+    """Texts of different words with some of them changed: near copies at five words and 80 per cent, not at four and 85."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for n, changed in ((49, 1), (50, 1), (52, 1), (500, 11), (48, 1), (47, 2), (120, 2)):
+        words = [f"n{n}w{k}" for k in range(n)]
+        other = list(words)
+        for k in range(changed):
+            other[(k + 1) * n // (changed + 1)] = f"new{n}x{k}"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    rows += [(100 + k, " ".join(cases.sentence(rng, rng.randrange(3, 60)))) for k in range(20)]
+    rows += [(200 + k, rows[-1 - k][1] + " tail") for k in range(8)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = {r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    root = cases.link_groups([cases.shingle_set(t, 5) for _, t in rows], 80)
+    assert kept == {rows[g][0] for g in root}
+    assert kept >= {0, 2, 4, 6} and not kept & {1, 3, 5, 7}
