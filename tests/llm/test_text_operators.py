@@ -129,6 +129,18 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.keep_one(none).count() == 0
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    """Only the row of an id that is a near copy goes; the id's other texts stay, one of each group."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{n}{rng.randrange(10**6)}" for _ in range(60)) for n in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (3, d), (3, d), (4, c), (4, None), (4, ""), (4, None), (None, a), (5, d + " x"), (5, "alone")]
+    docs = spark.createDataFrame([(i, t, "theirs") for i, t in rows], "doc_id long, text string, _k string").repartition(3)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r["_k"] for r in kept.collect()} == {"theirs"}
+    want = [(1, a), (2, b), (3, c), (3, d), (4, None), (4, ""), (4, None), (None, a), (5, "alone")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_jaccard_join_of_groups_without_a_common_pivot(spark):
     """Chains of near copies, where the ends are not linked themselves, and sizes at the border of the limit."""
     rng = random.Random(9)

@@ -28,12 +28,13 @@ other columns may have any names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -138,11 +139,11 @@ def sketches(row: np.ndarray, hash: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64).reshape(count, SKETCH_LONGS)
 
 
-_POINT = "row long, id long, n long, node string, sketch array<long>, regions array<long>, shingles binary"
+_POINT = "row long, id long, digest binary, n long, node string, sketch array<long>, regions array<long>, shingles binary"
 
 
 def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -> DataFrame:
-    """A row per text: n (shingles), node (a name of the set), and, if any region has two texts, its regions and shingles."""
+    """A row per text: digest (MD5 of the text), n (shingles), node (a name of the set), and, if any region has two texts, its regions and shingles."""
     blocks, buckets = packed_blocks(docs, id, text)
 
     def keys(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +168,15 @@ def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -
             sketch = sketches(row, hash, len(ids))
             upto = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hash ^ s), dtype=np.uint64)]) for s in (_SALT, ~_SALT)]
             sums = [u[ends[1:]] - u[ends[:-1]] for u in upto]
-            for k, ident in enumerate(ids.tolist()):
+            for k, (ident, body) in enumerate(zip(ids.tolist(), texts)):
                 live = len(regions[k]) > 0
                 names = "".join(f"{int(s[k]):016x}" for s in sums)
                 out.append((
-                    (int(number) << 24) + k, None if ident == LAST else ident, int(n[k]), names if live else None,
+                    (int(number) << 24) + k, None if ident == LAST else ident, hashlib.md5(body.as_buffer()).digest(), int(n[k]), names if live else None,
                     sketch[k] if live else None, regions[k] if live else None,
                     hash[ends[k] : ends[k + 1]].tobytes() if live else None,
                 ))
-        frame = pd.DataFrame(out, columns=["row", "id", "n", "node", "sketch", "regions", "shingles"])
+        frame = pd.DataFrame(out, columns=["row", "id", "digest", "n", "node", "sketch", "regions", "shingles"])
         return frame.astype({"id": "Int64"})
 
     made = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(build, _POINT))
@@ -222,7 +223,7 @@ def _near(similarity: int, left: str = "", right: str = "p_") -> str:
 def groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY
 ) -> tuple[DataFrame, DataFrame]:
-    """(one row per text: row, doc_id, n_shingles, component_id, root), and the measured links (a, b, common) of rows.
+    """(one row per text: row, doc_id, digest, n_shingles, component_id, root), and the measured links (a, b, common) of rows.
 
     ``component_id`` is the least id of the texts that links reach; ``root`` tells groups apart, also without ids.
     """
@@ -273,31 +274,45 @@ def groups(
     rooted = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = materialize(rooted.join(named, "root").select("node", "root", "component_id"))
-    texts = all_points.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    texts = all_points.select("row", F.col("id").alias("doc_id"), "digest", F.col("n").alias("n_shingles"), "node")
     joined = texts.join(found, "node", "left")
     return joined.select(
-        "row", "doc_id", "n_shingles",
+        "row", "doc_id", "digest", "n_shingles",
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("root", "row").alias("root"),
     ), links
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one text of each group: that of the least id. Texts without an id stay."""
+    """``docs`` with one text of each group: that of the least id. Texts without an id stay.
+
+    Rows are told apart by id and text, so rows of one id may lie in several groups.
+    """
     found = materialize(groups(docs, id, text, **options)[0])
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small_side(gone, gone.count()), F.col(id) == F.col("_gone"), "left_anti")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+    def same(names: DataFrame) -> Column:
+        return (F.col(id) == names["_id"]) & (digest == names["_digest"])
+
+    names = [F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")]
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(*names).distinct()
+    gone = small_side(gone, gone.count())
+    kept = docs.join(gone, same(gone), "left_anti")
     # Several rows of one id in one group: the first of them stays.
-    again = (
-        found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("many"))
-        .where("many > 1").select(F.col("doc_id").alias("_again")).distinct()
-    )
+    least = found.where(F.col("doc_id") == F.col("component_id"))
+    many = least.groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    again = materialize(least.join(many, ["doc_id", "root"]).select(*names, F.col("root").alias("_root")).distinct())
     count = again.count()
     if not count:
         return kept
-    double = kept.join(small_side(again, count), F.col(id) == F.col("_again"), "left_semi")
-    one = double.withColumn("_k", F.row_number().over(Window.partitionBy(id).orderBy(text))).where("_k = 1").drop("_k")
-    return kept.join(small_side(again, count), F.col(id) == F.col("_again"), "left_anti").unionByName(one)
+    again = small_side(again, count)
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    order = Window.partitionBy(again["_id"], again["_root"]).orderBy(text)
+    double = kept.join(again, same(again)).select(*(kept[c] for c in kept.columns), F.row_number().over(order).alias(place))
+    one = double.where(f"{place} = 1").drop(place)
+    return kept.join(again, same(again), "left_anti").unionByName(one)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
