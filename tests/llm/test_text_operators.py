@@ -129,6 +129,31 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.keep_one(none).count() == 0
 
 
+def test_jaccard_join_whole(spark, docs, rows):
+    """All linked pairs, also between texts that a pivot has brought into one group."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    more = []
+    for k in range(14):
+        words = list(base)
+        words[rng.randrange(80)] = f"new{k}"
+        more.append((500 + k, " ".join(words)))
+    more += [(600, more[0][1]), (601, "short one"), (602, None)]
+    for frame, texts in ((spark.createDataFrame(more, "doc_id long, text string"), [t for _, t in more]), (docs, [r[1] for r in rows])):
+        found, links = jaccard_join.groups(frame, whole=True)
+        sets = {cases.shingle_set(t, 4) for t in texts} - {frozenset()}
+        want = sum(
+            1 for x in sets for y in sets if x is not y and 100 * len(x & y) >= 85 * len(x | y)
+        ) // 2
+        pairs = [tuple(r) for r in links.collect()]
+        assert len(pairs) == len({p[:2] for p in pairs}) == want > 0 and all(a < b for a, b, _ in pairs)
+        got = found.collect()
+        reps = {r["rep"] for r in got}
+        assert {x for p in pairs for x in p[:2]} <= reps and len({r["rep"] for r in got if r["n_shingles"]}) == len(sets)
+        some = jaccard_join.groups(frame)[1].count()
+        assert some < want or frame is docs
+
+
 def test_keep_one_of_rows_that_share_an_id(spark):
     """Only the row of an id that is a near copy goes; the id's other texts stay, one of each group."""
     rng = random.Random(5)

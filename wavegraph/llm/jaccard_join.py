@@ -221,10 +221,14 @@ def _near(similarity: int, left: str = "", right: str = "p_") -> str:
 
 
 def groups(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY,
+    whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(one row per text: row, doc_id, digest, n_shingles, component_id, root), and the measured links (a, b, common) of rows.
+    """(one row per text: row, doc_id, digest, n_shingles, component_id, root, rep), and links (a, b, common) of rows.
 
+    Texts of equal sets have one ``rep``, the row that stands for them; links are between such rows. They only
+    span the groups, unless ``whole`` asks for all of the join: then every linked pair of different sets is there
+    once, with a < b.
     ``component_id`` is the least id of the texts that links reach; ``root`` tells groups apart, also without ids.
     """
     all_points = points(docs, id, text, shingle, similarity)
@@ -253,7 +257,7 @@ def groups(
     roots = components(first)
     # What the pivots leave: regions with texts of several groups, and the pairs between the groups.
     grouped = placed.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed = grouped.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
+    mixed = grouped.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.lit(whole) | F.expr("lo < hi")).select("region")
     distance = from_pivot.select(
         F.col("a").alias("row"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("far")
     )
@@ -264,22 +268,25 @@ def groups(
     right = left.select(F.col("region").alias("p_region"), *(F.col(c).alias(f"p_{c}") for c in ("row", "root", "n", "sketch", "far")))
     radius = (100 - similarity) / 100 + 1e-9
     test = (
-        f"region = p_region AND row < p_row AND root != p_root AND {_near(similarity)} "
+        f"region = p_region AND row < p_row AND {'true' if whole else 'root != p_root'} AND {_near(similarity)} "
         f"AND (far IS NULL OR p_far IS NULL OR abs(far - p_far) <= {radius})"
     )
     between = left.join(right, F.expr(test)).select(F.col("row").alias("a"), F.col("p_row").alias("b")).distinct()
+    if whole:  # a pivot has the least row of its region
+        first = first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")
+        between = between.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     second = linked(_measured(materialize(between), sets))
     links = materialize(first.unionByName(second))
     roots = components(links)
     rooted = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = materialize(rooted.join(named, "root").select("node", "root", "component_id"))
+    found = materialize(rooted.join(named, "root").select("node", "root", "component_id", "rep"))
     texts = all_points.select("row", F.col("id").alias("doc_id"), "digest", F.col("n").alias("n_shingles"), "node")
     joined = texts.join(found, "node", "left")
     return joined.select(
         "row", "doc_id", "digest", "n_shingles",
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("root", "row").alias("root"),
+        F.coalesce("root", "row").alias("root"), F.coalesce("rep", "row").alias("rep"),
     ), links
 
 
