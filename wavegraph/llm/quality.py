@@ -220,6 +220,7 @@ def judge(
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged documents; ``documents`` has no URL, so ``source`` stands for the host and ``lang`` for the path."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = judge(docs, *fit(docs, table(spark, sf_dir, "labels")))
     return found.select(
