@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
+from wavegraph.llm.divergence import OP11_SQL, op11_source_audit
 from wavegraph.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from wavegraph.llm.language import op3_language
 from wavegraph.llm.licenses import op8_license_scan
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_audit": op11_source_audit,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op6_url_filter": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_source_audit": OP11_SQL,
 }
