@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wavegraph.llm.bpe import op12_bpe
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
 from wavegraph.llm.divergence import OP11_SQL, op11_source_audit
 from wavegraph.llm.jaccard_join import OP10_SQL, op10_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_source_audit": op11_source_audit,
+    "op12_bpe": op12_bpe,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
