@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +44,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete_at_end(spark: SparkSession, path: str) -> None:
+_open = threading.local()
+
+
+def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(place) if at_end else files.delete(place, True)
+
+
+def _written(df: DataFrame, codec: str | None) -> tuple[str, DataFrame]:
+    path = scratch_path(df.sparkSession, "table")
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    _delete(df.sparkSession, path, at_end=True)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it from there.
 
     This cuts the lineage, so a lost executor costs no recompute, and computes ``df`` once
     (a checkpoint computes it twice). The files also tell Spark the size of the result. They
-    are deleted when the driver ends.
+    are deleted when the driver ends, or when a ``settle`` around the call ends.
     """
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    _delete_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, table = _written(df, codec)
+    steps = getattr(_open, "steps", [])
+    if steps:
+        steps[-1].append((df.sparkSession, path))
+    return table
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """Materialize what ``make`` returns, and delete all tables that were written for it."""
+    steps = _open.steps = getattr(_open, "steps", [])
+    mine: list[tuple[SparkSession, str]] = []
+    steps.append(mine)
+    try:
+        frame = make()
+        path, table = _written(frame, None)
+    finally:
+        steps.pop()
+        for spark, old in mine:
+            _delete(spark, old)
+    if steps:
+        steps[-1].append((frame.sparkSession, path))
+    return table
