@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wavegraph.llm.alignment import op13_alignment
 from wavegraph.llm.bpe import op12_bpe
 from wavegraph.llm.decontaminate import OP1_SQL, op1_decontaminate
 from wavegraph.llm.divergence import OP11_SQL, op11_source_audit
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_source_audit": op11_source_audit,
     "op12_bpe": op12_bpe,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
