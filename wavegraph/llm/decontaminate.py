@@ -37,6 +37,9 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same in text that is not folded: a word with what follows it up to the next, and what comes before the first.
+_PART = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+_LEAD = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -232,19 +235,17 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents below the coverage limit, with every hit span cut out of their text."""
-    found = scan(docs, items, text=text, **options).where(~F.col("hit.contaminated"))
-    # Between two parts of words lies what no word has; the split keeps words and gaps in turn.
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    gaps = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    kept = F.transform(
-        words,
-        lambda w, i: F.when(F.exists("hit.spans", lambda s: (i >= s[0]) & (i < s[1])), F.lit("")).otherwise(w),
-    )
-    joined = F.array_join(F.zip_with(gaps, F.concat(kept, F.array(F.lit(""))), lambda g, w: F.concat(g, w)), "")
-    changed = F.when(F.size("hit.spans") > 0, F.regexp_replace(joined, f"({gap}){{2,}}", " ")).otherwise(F.col(text))
-    return found.withColumn(text, changed).drop("hit")
+    """The documents below the coverage limit, with every hit span cut out of their text.
+
+    A span goes with what separates it from the word after it; all text outside the spans is unchanged.
+    """
+    found = scan(docs.withColumnRenamed("hit", "_their_hit"), items, text=text, **options).where(~F.col("hit.contaminated"))
+    # What comes before the first word, then each word with what separates it from the next one.
+    parts = F.regexp_extract_all(F.col(text), F.lit(_PART), F.lit(0))
+    lead = F.regexp_extract(F.col(text), _LEAD, 0)
+    kept = F.filter(parts, lambda w, i: ~F.exists("hit.spans", lambda s: (i >= s[0]) & (i < s[1])))
+    changed = F.when(F.size("hit.spans") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(F.col(text))
+    return found.withColumn(text, changed).drop("hit").withColumnRenamed("_their_hit", "hit")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
