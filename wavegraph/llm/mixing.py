@@ -158,14 +158,19 @@ def mix(
 
 
 def copies_of(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = SEED, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each document in as many rows as it has copies, numbered by ``copy`` from 1."""
+    """``docs`` as the mix takes them: each document in as many rows as it has copies, numbered by ``copy`` from 1
+    (a column of that name is replaced)."""
     counts = (
         mix(docs, id=id, text=text, seed=seed, **options).groupBy("key")
         .agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("key", "_key")
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id), F.col(text)))
+    # The caller's columns are inside ``row``, where no name is in the way.
+    keyed = docs.select(
+        F.struct(*(docs[c] for c in docs.columns if c != "copy")).alias("row"), F.xxhash64(F.lit(seed), docs[id], docs[text]).alias("_key")
+    )
     taken = keyed.join(counts.where(F.col("_copies") > 0), "_key")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_key", "_copies")
+    copy = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "copy"), copy)
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,15 +206,18 @@ def judge(
 ) -> DataFrame:
     """``docs`` with a struct ``judged``: evidence, host_rate, path_rate, score (0 to 1), keep."""
     base = [c for c in docs.columns if c != "judged"]
-    seen = with_evidence(docs.select(*(docs[c] for c in base)), evidence, text)
+    # The caller's columns are inside ``row``, where no name is in the way.
+    boxed = docs.select(
+        F.struct(*(docs[c] for c in base)).alias("row"), docs[text].cast("string").alias("text"), docs[host].alias("host"), docs[path].alias("path")
+    )
     count = rates.count()
-    joined = seen.join(
-        small_side(rates, count), F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left"
+    joined = with_evidence(boxed, evidence, "text").join(
+        small_side(rates, count), F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left"
     )
     rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.coalesce("path_rate", F.lit(0.5))))
     score = 1 / (1 + F.exp(-(F.log(rate / (1 - rate)) + F.col("_evidence"))))
     score = F.lit(1.0) if evidence is None else score
-    return joined.select(*base, F.struct(
+    return joined.select(*(F.col("row")[c].alias(c) for c in base), F.struct(
         F.col("_evidence").alias("evidence"), "host_rate", "path_rate", score.alias("score"), (score >= keep).alias("keep")
     ).alias("judged"))
 
