@@ -181,7 +181,11 @@ def train_network(
     )
     sample = known.join(small_side(picked, picked.count()), ["lang", "id"])
     words = (
-        sample.select("lang", F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0))).alias("word"))
+        sample.select("lang", F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0))).alias("run"))
+        # Long runs in pieces, as prediction reads them.
+        .select("lang", F.explode(F.expr(
+            f"transform(sequence(0, (octet_length(run) - 1) div {PIECE}), i -> substring(cast(run as binary), int(i * {PIECE} + 1), {PIECE}))"
+        )).alias("word"))
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word")))
         .where(F.col("k") <= sample_words).orderBy("lang", "word")
@@ -192,7 +196,7 @@ def train_network(
     names = sorted({r["lang"] for r in rows})
     place = {name: k for k, name in enumerate(names)}
     network = ByteNetwork(names)
-    codes = encode([r["word"].encode()[:PIECE] for r in rows])
+    codes = encode([bytes(r["word"]) for r in rows])
     weight = np.sqrt(np.array([r["n"] for r in rows], float))
     network.train(codes, np.array([place[r["lang"]] for r in rows]), weight, steps)
     return network
