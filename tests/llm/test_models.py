@@ -225,7 +225,7 @@ def test_pipeline_stages(spark, tmp_path):
     kept = before["quality"]
     assert np.mean([(i in kept) == bool(q) for i, q in labels.items()]) > 0.97
     rows = sorted(kept)
-    root = cases.link_groups([cases.shingle_set(kept[i]["text"], 4) for i in rows], 85)
+    root = cases.link_groups([cases.shingle_set(kept[i]["text"], 5) for i in rows], 80)
     assert set(before["near_duplicates"]) == {rows[g] for g in root}
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     clean = set()
@@ -263,3 +263,19 @@ def test_near_duplicates_of_five_words(spark):
     root = cases.link_groups([cases.shingle_set(t, 5) for _, t in rows], 80)
     assert kept == {rows[g][0] for g in root}
     assert kept >= {0, 2, 4, 6} and not kept & {1, 3, 5, 7}
+
+
+def test_recall_in_a_full_shard():
+    """20,000 points around 50 centers in one shard, against all inner products."""
+    rng = np.random.default_rng(21)
+    centers = rng.normal(size=(50, 64))
+    points = centers[rng.integers(0, 50, 20_000)] + 0.3 * rng.normal(size=(20_000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    asked = np.arange(0, 20_000, 100)
+    found: dict = {}
+    for query, near, _ in vector_search.Shard(np.arange(20_000), points).nearest(asked, points[asked], 20, vector_search.BEAM):
+        found.setdefault(query, set()).add(near)
+    scores = points[asked] @ points.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(asked.tolist(), best.tolist())]) >= 0.95

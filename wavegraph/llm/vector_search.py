@@ -38,10 +38,11 @@ LEAST_SHARDS = 8
 BLOCK_QUERIES = 4096
 DEGREE = 24
 BUILD_BEAM = 64
-BEAM = 128
+BEAM = 256
 EXPAND = 4
 ALPHA = 1.2
-ENTRIES = 32
+# Points that each search begins from; there are enough of them for every cluster of a shard to have one.
+ENTRIES = 512
 BATCH = 512
 REVERSE = 24
 
