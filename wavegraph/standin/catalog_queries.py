@@ -74,11 +74,14 @@ _WIDE = """SELECT 'labels' AS table_name, label_id || '|' || name || '|C' || min
         FROM doc_head JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 0"""
 
 
-@query("normalize_catalog_wide", _WIDE, {
+_WIDE_VIEWS = {
     **V, "format_words": _FORMAT,
     "genre_words": "SELECT CAST(row_number() OVER (ORDER BY p_type) AS INTEGER) AS genre_id, p_type AS name FROM (SELECT DISTINCT p_type FROM line_base)",
     "style_words": "SELECT CAST(row_number() OVER (ORDER BY p_brand) AS INTEGER) AS style_id, p_brand AS name FROM (SELECT DISTINCT p_brand FROM line_base)",
-})
+}
+
+
+@query("normalize_catalog_wide", _WIDE, _WIDE_VIEWS)
 def normalize_catalog_wide(spark, sf):
     docs = corpus.documents(spark, sf)
     core = ("artists", "releases", "release_artists", "release_extraartists", "tracks", "track_artists")

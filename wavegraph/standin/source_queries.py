@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from wavegraph.operators.playlist import AUDIO_ENDINGS
 from wavegraph.operators.ordering import number_rows
 from wavegraph.plans import correlate
+from wavegraph.plans.import_catalog import import_catalog as import_tables
 from wavegraph.session import scratch_path
 from wavegraph.sources import catalog as xml
 from wavegraph.sources import text as src
 from wavegraph.standin import corpus, graph_queries
 from wavegraph.standin import tables as t
-from wavegraph.standin.catalog_queries import V
+from wavegraph.standin.catalog_queries import _CORE, _CORE_VIEWS, _WIDE, _WIDE_VIEWS, V, _long
 from wavegraph.standin.registry import ORACLE, query
 from wavegraph.streaming import listens as streams
 
@@ -23,19 +24,58 @@ def _written(spark, frame, name, writer):
     return path
 
 
-_DOCS = """SELECT id, title, released, o_custkey AS master_id, count(*) FILTER (l_returnflag = 'N') AS n_artists,
-    count(*) FILTER (l_returnflag <> 'N') AS n_extra, count(pos) AS n_tracks,
-    coalesce(string_agg(p_type, '|' ORDER BY pos), '') AS genres,
-    min_by(p_name || ' ' || l_suppkey, pos) AS first_track, 'C' || id AS catno
-    FROM doc_head LEFT JOIN line_base USING (id) GROUP BY id, title, released, o_custkey"""
+def _agg(text, where="true"):
+    return f"coalesce(string_agg({text}, ';' ORDER BY pos) FILTER (pos IS NOT NULL AND {where}), '')"
+
+
+_ROLE = "CASE WHEN l_returnflag = 'A' THEN 'Producer' ELSE 'Mixed By' END"
+_DOCS = f"""SELECT id, title, country, released, '' AS notes, title AS data_quality, o_custkey AS master_id,
+    {_agg("l_partkey || ':' || artist || ':,:'", "l_returnflag = 'N'")} AS artists,
+    {_agg(f"l_partkey || ':' || artist || ':' || {_ROLE} || ':'", "l_returnflag <> 'N'")} AS extraartists,
+    {_agg("l_linenumber || ':' || p_name || ' ' || l_suppkey || ':' || l_suppkey || ':' || s_name || ':Written By:'")} AS tracks,
+    o_custkey || ':' || any_value(name) || ':C' || id AS labels,
+    {_agg("l_linestatus || ':' || qty || ':' || l_returnflag || ':' || p_type")} AS formats,
+    {_agg("p_type")} AS genres, {_agg("p_brand")} AS styles,
+    {_agg("'v/' || price || ':' || qty || ':true:' || p_name || ':' || p_type")} AS videos,
+    {_agg("l_suppkey || ':' || s_name || ':23:Pressed By'")} AS companies,
+    any_value(c_nationkey || ':' || c_mktsegment || ':') AS series
+    FROM doc_head JOIN label_name ON label_id = o_custkey JOIN customer ON c_custkey = o_custkey LEFT JOIN line_base USING (id)
+    GROUP BY id, title, country, released, o_custkey"""
+
+
+_IMPORT_VIEWS = {**_CORE_VIEWS, **_WIDE_VIEWS}
+_IMPORTED = f"""{_CORE} UNION ALL {_WIDE}
+    UNION ALL SELECT DISTINCT 'contributed_to', id || '|' || l_partkey FROM line_base WHERE l_partkey <> 0
+    UNION ALL SELECT 'released_on', id || '|' || o_custkey FROM doc_head JOIN label_name ON o_custkey = label_id
+        WHERE o_custkey <> 0 AND name <> 'Not On Label'
+    UNION ALL SELECT DISTINCT 'produced_by', id || '|' || l_partkey FROM line_base WHERE l_partkey <> 0 AND l_returnflag = 'A'
+    UNION ALL SELECT 'nodes', 'release|' || id || '|' || title FROM doc_head
+    UNION ALL SELECT DISTINCT 'nodes', 'artist|' || l_partkey || '|' || artist FROM line_base WHERE l_partkey <> 0
+    UNION ALL SELECT DISTINCT 'nodes', 'label|' || o_custkey || '|' || name FROM doc_head JOIN label_name ON o_custkey = label_id
+        WHERE o_custkey <> 0 AND name <> 'Not On Label'
+    UNION ALL SELECT DISTINCT 'nodes', 'producer|' || l_partkey || '|' || artist FROM line_base
+        WHERE l_partkey <> 0 AND l_returnflag = 'A'"""
 
 
 def _doc_summary(docs):
+    """Every column of a document; arrays as text, with a colon between the parts of an element."""
+    def listed(array, *fields):
+        part = lambda e: [F.coalesce(e[f].cast("string"), F.lit("")) for f in fields]
+        return F.array_join(F.transform(array, lambda e: F.array_join(F.array(*part(e)), ":")), ";").alias(array)
+
+    credit = ("id", "name", "role", "anv")
+    tracks = F.array_join(F.transform("tracks", lambda t: F.concat_ws(
+        ":", t["position"], t["title"],
+        F.array_join(F.transform(t["extraartists"], lambda e: F.array_join(F.array(*(F.coalesce(e[f].cast("string"), F.lit("")) for f in credit)), ":")), ","),
+    )), ";")
+    formats = F.array_join(F.transform("formats", lambda f: F.concat_ws(
+        ":", f["name"], f["qty"], f["text"], F.array_join(f["descriptions"], ","))), ";")
     return docs.select(
-        "id", "title", F.coalesce("released", F.lit("")).alias("released"), "master_id",
-        F.size("artists").cast("bigint").alias("n_artists"), F.size("extraartists").cast("bigint").alias("n_extra"),
-        F.size("tracks").cast("bigint").alias("n_tracks"), F.array_join("genres", "|").alias("genres"),
-        F.get("tracks", F.lit(0))["title"].alias("first_track"), F.col("labels")[0]["catno"].alias("catno"),
+        "id", "title", "country", *(F.coalesce(c, F.lit("")).alias(c) for c in ("released", "notes")), "data_quality", "master_id",
+        listed("artists", "id", "name", "join", "anv"), listed("extraartists", *credit), tracks.alias("tracks"),
+        listed("labels", "id", "name", "catno"), formats.alias("formats"), F.array_join("genres", ";").alias("genres"),
+        F.array_join("styles", ";").alias("styles"), listed("videos", "src", "duration", "embed", "title", "description"),
+        listed("companies", "id", "name", "entity_type", "entity_type_name"), listed("series", "id", "name", "catno"),
     )
 
 
@@ -51,6 +91,13 @@ def scan_small_catalog_xml(spark, sf):
     return _doc_summary(xml.scan_small_catalog_xml(spark, path))
 
 
+@query("import_catalog", _IMPORTED, _IMPORT_VIEWS)
+def import_catalog(spark, sf):
+    """A dump is read once, and all tables and the graph come of it."""
+    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
+    return _long(import_tables(xml.scan_catalog_xml(spark, path), scratch_path(spark, "catalog"), ["Producer"]))
+
+
 @query("scan_release_json", """SELECT CAST(release_id AS VARCHAR) AS release_id,
     'https://www.discogs.com/release/' || release_id AS discogs_url, CAST(release_id AS VARCHAR) AS source_ids
     FROM releases""")
