@@ -340,6 +340,12 @@ def fuzzy_candidate_join(spark, sf):
     return _candidates(spark, sf)
 
 
+@query("fuzzy_candidates_indexed", "SELECT page_id, release_id FROM cand", V)
+def fuzzy_candidates_indexed(spark, sf):
+    """The same from the stored index: no name or title is read that has none of the pieces asked for."""
+    return corpus.match_index(spark, sf).candidates(_parsed(spark, sf))
+
+
 @query("string_similarity_lev", """SELECT page_id, l_partkey AS p_partkey,
     round(1 - levenshtein(lower(page_all.artist), lower(b.artist)) / greatest(len(page_all.artist), len(b.artist)), 6)::DOUBLE AS ratio
     FROM page_all JOIN line_base b ON b.id = page_id""", V)
@@ -397,7 +403,9 @@ def best_match_per_page(spark, sf):
 
 
 def _correlated(spark, sf, similarity):
-    return correlate.correlate_pages(_parsed(spark, sf), corpus.match_catalog(spark, sf), similarity)
+    return correlate.correlate_pages(
+        _parsed(spark, sf), corpus.match_catalog(spark, sf), similarity, index=corpus.match_index(spark, sf)
+    )
 
 
 @query("correlate_pages")
@@ -439,7 +447,8 @@ def correlate_new_pages(spark, sf):
     failed = stubs.where("o_orderpriority = '5-LOW'").select(F.col("path").alias("stub"))
     shown = pages.parsed_pages(corpus.release_pages(spark, sf)).withColumn("stub", F.replace("path", F.lit("/page.html"), F.lit("")))
     _, matched, failed = correlate.correlate_new_pages(
-        shown, corpus.match_catalog(spark, sf), matched, failed, F.lit("2024-01-01").cast("timestamp"), text.string_similarity_lev
+        shown, corpus.match_catalog(spark, sf), matched, failed, F.lit("2024-01-01").cast("timestamp"), text.string_similarity_lev,
+        corpus.match_index(spark, sf),
     )
     return matched.select("stub", "url").unionByName(failed.select("stub", F.lit(None).cast("string").alias("url")))
 

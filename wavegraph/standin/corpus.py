@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavegraph.operators.ordering import number_rows
+from wavegraph.operators.postings import Index
 from wavegraph.session import scratch_path
 from wavegraph.standin.tables import known, label_names, table
 
@@ -146,6 +147,22 @@ def _match_catalog(spark, sf) -> dict[str, DataFrame]:
     }
 
 
+def match_index(spark, sf) -> Index:
+    """The index of ``match_catalog``, written once per session in two generations, as two imports would."""
+    key = (spark.sparkContext.applicationId, sf, "match-index")
+    if key not in _STORED:
+        index = Index(spark, scratch_path(spark, "match-index"), parts=8)
+        catalog = match_catalog(spark, sf)
+        old = {
+            "releases": catalog["releases"].where("id % 4 <> 0"), "artists": catalog["artists"].where("id % 3 <> 0"),
+            "release_artists": catalog["release_artists"],
+        }
+        index.add(old, 0)
+        index.add(catalog, 1)
+        _STORED[key] = index
+    return _STORED[key]
+
+
 def release_pages(spark, sf) -> DataFrame:
     """The pages of ``_release_pages``, stored."""
     return _stored(spark, sf, "release-pages", _release_pages)
