@@ -435,20 +435,27 @@ _STATE = {
 }
 
 
-@query("correlate_new_pages", """SELECT stub, url FROM now_matched
+_NOW = """SELECT stub, url FROM now_matched
     UNION ALL SELECT stub, NULL FROM (SELECT stub FROM was_failed UNION SELECT stub FROM new_page)
-        WHERE stub NOT IN (SELECT stub FROM now_matched)""", _STATE)
-def correlate_new_pages(spark, sf):
-    """The state after a run over all pages; some of them were known before."""
+        WHERE stub NOT IN (SELECT stub FROM now_matched)"""
+
+
+def known_before(spark, sf):
+    """(matched, failed): what a run over all pages knows of some of them."""
     stubs = t.known(spark, sf).join(
         t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("release_id"), "o_orderstatus", "o_orderpriority"), "release_id"
     )
     matched = stubs.where("o_orderstatus = 'F'").select(F.col("path").alias("stub"), release_web_url(F.col("release_id")).alias("url"))
-    failed = stubs.where("o_orderpriority = '5-LOW'").select(F.col("path").alias("stub"))
+    return matched, stubs.where("o_orderpriority = '5-LOW'").select(F.col("path").alias("stub"))
+
+
+@query("correlate_new_pages", _NOW, _STATE)
+def correlate_new_pages(spark, sf):
+    """The state after a run over all pages; some of them were known before."""
     shown = pages.parsed_pages(corpus.release_pages(spark, sf)).withColumn("stub", F.replace("path", F.lit("/page.html"), F.lit("")))
     _, matched, failed = correlate.correlate_new_pages(
-        shown, corpus.match_catalog(spark, sf), matched, failed, F.lit("2024-01-01").cast("timestamp"), text.string_similarity_lev,
-        corpus.match_index(spark, sf),
+        shown, corpus.match_catalog(spark, sf), *known_before(spark, sf), F.lit("2024-01-01").cast("timestamp"),
+        text.string_similarity_lev, corpus.match_index(spark, sf),
     )
     return matched.select("stub", "url").unionByName(failed.select("stub", F.lit(None).cast("string").alias("url")))
 

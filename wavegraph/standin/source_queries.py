@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from wavegraph.operators.playlist import AUDIO_ENDINGS
 from wavegraph.operators.ordering import number_rows
-from wavegraph.plans import correlate
 from wavegraph.plans.import_catalog import import_catalog as import_tables
 from wavegraph.session import scratch_path
 from wavegraph.sources import catalog as xml
 from wavegraph.sources import text as src
 from wavegraph.standin import corpus, graph_queries
 from wavegraph.standin import tables as t
-from wavegraph.standin.catalog_queries import _CORE, _CORE_VIEWS, _WIDE, _WIDE_VIEWS, V, _long
+from wavegraph.standin.catalog_queries import _BEST, _CORE, _CORE_VIEWS, _NOW, _STATE, _WIDE, _WIDE_VIEWS, V, _long, known_before
 from wavegraph.standin.registry import ORACLE, query
 from wavegraph.streaming import listens as streams
+from wavegraph.streaming.matching import MatchState, stream_correlate_pages
 
 
 def _written(spark, frame, name, writer):
@@ -304,21 +304,29 @@ def stream_burst_last_value(spark, sf):
     return streams.run_updates(streams.stream_burst_last_value(changes), ["control", "start"], mode="append")
 
 
-@query("stream_match_new_pages", """SELECT page_id, release_id FROM (SELECT *, row_number() OVER
-    (PARTITION BY page_id ORDER BY round(confidence, 9) DESC, release_id) AS pos FROM lev_all WHERE confidence >= 0.5) WHERE pos = 1""", V)
-def stream_match_new_pages(spark, sf):
+def _streamed(spark, sf):
+    """All pages arrive in three batches, with the state of some known before: (folder of the matches, state)."""
     from wavegraph.functions.text import string_similarity_lev
-    from wavegraph.operators.pages import parsed_pages
 
     arrived = scratch_path(spark, "arrived")
-    corpus.release_pages(spark, sf).write.parquet(arrived)
-    out, state = scratch_path(spark, "matched"), scratch_path(spark, "state")
-    catalog = corpus.match_catalog(spark, sf)
+    corpus.release_pages(spark, sf).repartition(3, "page_id").write.option("maxRecordsPerFile", 0).parquet(arrived)
+    out, state = scratch_path(spark, "matched"), MatchState.start(*known_before(spark, sf), scratch_path(spark, "known"))
+    incoming = spark.readStream.schema(spark.read.parquet(arrived).schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    stream_correlate_pages(
+        incoming, corpus.match_catalog(spark, sf), state, out, scratch_path(spark, "state"), string_similarity_lev,
+        corpus.match_index(spark, sf),
+    )
+    return out, state
+
+
+@query("stream_match_new_pages", f"SELECT page_id, release_id FROM new_page JOIN ({_BEST}) USING (page_id)", _STATE)
+def stream_match_new_pages(spark, sf):
+    """The best matches of pages that nothing was known of."""
+    return spark.read.parquet(_streamed(spark, sf)[0]).select("page_id", "release_id")
 
-    def match(batch):
-        good = parsed_pages(batch).where("status = 'ok'")
-        return correlate.correlate_pages(good, catalog, string_similarity_lev)
 
-    incoming = spark.readStream.schema(spark.read.parquet(arrived).schema).parquet(arrived)
-    streams.stream_match_new_pages(incoming, match, out, state)
-    return spark.read.parquet(out).select("page_id", "release_id")
+@query("stream_match_state", _NOW, _STATE)
+def stream_match_state(spark, sf):
+    """What is known of all pages after the last batch."""
+    matched, failed = _streamed(spark, sf)[1].before(1 << 30)
+    return matched.select("stub", "url").unionByName(failed.select("stub", F.lit(None).cast("string").alias("url")))
