@@ -15,20 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavegraph.functions.ids import clean_id, clean_label_name
-from wavegraph.functions.weights import inv_log_degree
-from wavegraph.operators.skew import hot_keys, salted_join
+from wavegraph.functions.weights import damped_idf, inv_log_degree
+from wavegraph.operators.skew import BROADCAST_ROWS, hot_keys, salted_join
 from wavegraph.session import materialize
 
 
 
+_HUBS = {"released_on": "label_id", "produced_by": "producer_id"}
+
+
 @dataclass
 class Graph:
-    """Distinct edges: (artist_id, release_id), (release_id, label_id), (release_id, producer_id)."""
+    """Distinct edges: (artist_id, release_id), (release_id, label_id), (release_id, producer_id).
+
+    A stored graph also keeps what queries would otherwise work out of whole edge sets at each call: the facts
+    of the releases, and the edges at labels and producers with their degree. Queries then join a few rows to
+    tables that are only scanned.
+    """
 
     contributed_to: DataFrame
     released_on: DataFrame
     produced_by: DataFrame
     _hot: dict = field(default_factory=dict, repr=False)
+    _stored: dict = field(default_factory=dict, repr=False)
 
     def hot(self, edges: str, key: str) -> list:
         """The hot values of ``key`` in the named edge set, looked up once."""
@@ -38,16 +47,53 @@ class Graph:
         return self._hot[edges][key]
 
     def stored(self, path: str) -> Graph:
-        """Write the edges below ``path`` and read them from there: queries then start from distinct edges."""
+        """Write the edges and what follows from them below ``path``, and read them from there."""
         spark = self.contributed_to.sparkSession
-        names = ("contributed_to", "released_on", "produced_by")
-        for name in names:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Graph(*(spark.read.parquet(f"{path}/{name}") for name in names))
 
-    def hop(self, few: DataFrame, edges: str, key: str) -> DataFrame:
-        """Follow the named edges from the ``key`` column of ``few``."""
-        return salted_join(few, getattr(self, edges), key, self.hot(edges, key))
+        def kept(name: str, frame: DataFrame) -> DataFrame:
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(frame.schema).parquet(f"{path}/{name}")
+
+        edges = Graph(*(kept(name, getattr(self, name)) for name in ("contributed_to", "released_on", "produced_by")))
+        edges._stored["facts"] = kept("release_facts", edges.release_facts())
+        for name in _HUBS:
+            edges._stored[name] = kept(f"{name}_hubs", edges.hub_edges(name))
+        return edges
+
+    def release_facts(self) -> DataFrame:
+        """(release_id, sole, contributors, labels, label_idf) of releases with contributors or labels.
+
+        ``sole`` is the only contributor, null if there are several; ``label_idf`` the mean damped weight of the labels.
+        """
+        if "facts" in self._stored:
+            return self._stored["facts"]
+        people = self.contributed_to.groupBy("release_id").agg(
+            F.when(F.min("artist_id") == F.max("artist_id"), F.min("artist_id")).alias("sole"), F.count(F.lit(1)).alias("contributors")
+        )
+        weights = degree(self.released_on, "label_id").select("label_id", damped_idf(F.col("degree")).alias("w"))
+        on_label = self.hop(weights, "released_on", "label_id").groupBy("release_id").agg(
+            F.count(F.lit(1)).alias("labels"), F.avg("w").alias("label_idf")
+        )
+        return people.join(on_label, "release_id", "full").fillna(0, ["contributors", "labels"])
+
+    def hub_edges(self, edges: str) -> DataFrame:
+        """The named edges to releases with contributors, with the hub's degree and the release's ``sole`` contributor."""
+        if edges in self._stored:
+            return self._stored[edges]
+        hub, frame = _HUBS[edges], getattr(self, edges)
+        known = self.release_facts().where("contributors > 0").select("release_id", "sole")
+        counted = salted_join(degree(frame, hub), frame, hub, self.hot(edges, hub))
+        return counted.join(known, "release_id").select("release_id", hub, "degree", "sole")
+
+    def hop(self, few: DataFrame, edges: str, key: str, rows: int | None = None) -> DataFrame:
+        """Follow the named edges from the ``key`` column of ``few``; ``rows`` is its length, where that is known."""
+        return self.join(few, getattr(self, edges), edges, key, rows)
+
+    def join(self, few: DataFrame, frame: DataFrame, edges: str, key: str, rows: int | None = None) -> DataFrame:
+        """Join ``few`` to a table of the named edges. If it is known to be short, the table is not shuffled."""
+        if rows is not None and rows <= BROADCAST_ROWS:
+            return frame.join(F.broadcast(few), key).select(*few.columns, *(c for c in frame.columns if c not in few.columns))
+        return salted_join(few, frame, key, self.hot(edges, key))
 
 
 def clean_edges(contributions: DataFrame, releases_on: DataFrame, labels: DataFrame, productions: DataFrame) -> Graph:
@@ -90,10 +136,10 @@ def first_artists(graph: Graph, seeds: DataFrame) -> DataFrame:
     return edges.groupBy("release_id").agg(F.min("artist_id").alias("artist_id")).select("artist_id").distinct()
 
 
-def own_releases(graph: Graph, sources: DataFrame) -> DataFrame:
-    """(source_id, release_id): the sources' own releases."""
+def own_releases(graph: Graph, sources: DataFrame, rows: int | None = None) -> DataFrame:
+    """(source_id, release_id): the sources' own releases; ``rows`` is the number of sources, where that is known."""
     few = sources.select("artist_id").distinct()
-    return graph.hop(few, "contributed_to", "artist_id").select(F.col("artist_id").alias("source_id"), "release_id")
+    return graph.hop(few, "contributed_to", "artist_id", rows).select(F.col("artist_id").alias("source_id"), "release_id")
 
 
 def _via(own_hubs: DataFrame, hub: str) -> DataFrame:
@@ -105,8 +151,8 @@ def _via(own_hubs: DataFrame, hub: str) -> DataFrame:
 _ELSEWHERE = "lo <> hi OR release_id <> lo"
 
 
-def _met(graph: Graph, own: DataFrame) -> DataFrame:
-    met = graph.hop(own, "contributed_to", "release_id").withColumnRenamed("artist_id", "other_id")
+def _met(graph: Graph, own: DataFrame, rows: int | None = None) -> DataFrame:
+    met = graph.hop(own, "contributed_to", "release_id", rows).withColumnRenamed("artist_id", "other_id")
     return _via(met.where("other_id <> source_id"), "other_id")
 
 
@@ -135,14 +181,17 @@ def hop_same_artist(graph: Graph, sources: DataFrame) -> DataFrame:
     return _row(_several(graph, own_releases(graph, sources)), F.lit(1.5), 1)
 
 
-def _reach_people(graph: Graph, own: DataFrame) -> DataFrame:
+def _reach_people(graph: Graph, own: DataFrame, rows: int | None = None) -> DataFrame:
     """(source_id, release_id, elsewhere): releases of those who share a release with the source.
 
     ``elsewhere`` tells if one of them leads there from another release than itself. One
     expansion serves the three hops through people.
     """
-    others = _met(graph, own).withColumnRenamed("other_id", "artist_id")
-    reached = graph.hop(others, "contributed_to", "artist_id")
+    others = _met(graph, own, rows).withColumnRenamed("other_id", "artist_id")
+    if rows is not None:
+        others = materialize(others)
+        rows = others.count()
+    reached = graph.hop(others, "contributed_to", "artist_id", rows)
     return reached.groupBy("source_id", "release_id").agg(F.max(F.expr(_ELSEWHERE)).alias("elsewhere"))
 
 
@@ -167,33 +216,25 @@ def hop_similar_artist(graph: Graph, sources: DataFrame, with_label: bool = Fals
     return _row(reach, F.lit(2.5), 3)
 
 
-def _sole(graph: Graph) -> DataFrame:
-    """(release_id, sole): releases with contributors; ``sole`` is the only one, null if there are several."""
-    return graph.contributed_to.groupBy("release_id").agg(
-        F.when(F.min("artist_id") == F.max("artist_id"), F.min("artist_id")).alias("sole")
-    )
-
-
-def _hub_edges(graph: Graph, edges: str) -> DataFrame:
-    """The named edges to releases with contributors, with ``sole``. Joined once per edge, not once per path."""
-    return getattr(graph, edges).join(_sole(graph), "release_id")
+def _hubs(graph: Graph, own: DataFrame, edges: str, hub: str, rows: int | None = None) -> DataFrame:
+    """(source_id, hub, lo, hi): the hubs of the sources' releases."""
+    return _via(graph.hop(own, edges, "release_id", rows), hub)
 
 
-def _hubs(graph: Graph, own: DataFrame, edges: str, hub: str) -> DataFrame:
-    """(source_id, hub, lo, hi): the hubs of the sources' releases."""
-    return _via(graph.hop(own, edges, "release_id"), hub)
+def _below(edges: DataFrame, max_degree: int | None) -> DataFrame:
+    return edges if max_degree is None else edges.where(F.col("degree") < max_degree)
 
 
 def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int | None) -> DataFrame:
     """One row per source, hub (below ``max_degree``, if given) and other release there that someone else worked on."""
-    hubs = _hubs(graph, own, edges, hub).join(filter_degree(getattr(graph, edges), hub, max_degree), hub)
-    reached = salted_join(hubs, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
+    hubs = _hubs(graph, own, edges, hub)
+    reached = graph.join(hubs, _below(graph.hub_edges(edges), max_degree), edges, hub)
     kept = reached.where(_ELSEWHERE).where("sole IS NULL OR sole <> source_id")
     return _row(kept, inv_log_degree(F.col("degree")), 2)
 
 
 def hub_totals(
-    graph: Graph, own: DataFrame, counts: DataFrame, edges: str, hub: str, max_degree: int | None
+    graph: Graph, own: DataFrame, counts: DataFrame, edges: str, hub: str, max_degree: int | None, rows: int | None = None
 ) -> DataFrame:
     """(release_id, weight, hops, paths): what ``_hub_rows`` gives, summed over the sources.
 
@@ -202,10 +243,9 @@ def hub_totals(
     that only this release leads to the hub, and its sole contributor. The rows are those of
     the edges, however many sources there are.
     """
-    few = filter_degree(getattr(graph, edges), hub, max_degree)
-    via = _hubs(graph, own, edges, hub).join(counts, "source_id")
-    total = via.groupBy(hub).agg(F.sum("seeds").alias("total")).join(few, hub)
-    reached = salted_join(total, _hub_edges(graph, edges), hub, graph.hot(edges, hub))
+    via = materialize(_hubs(graph, own, edges, hub, rows).join(counts, "source_id"))
+    total = materialize(via.groupBy(hub).agg(F.sum("seeds").alias("total")))
+    reached = graph.join(total, _below(graph.hub_edges(edges), max_degree), edges, hub, total.count())
     itself = via.where("lo = hi").groupBy(hub, F.col("lo").alias("release_id")).agg(F.sum("seeds").alias("itself"))
     alone = via.select(hub, F.col("source_id").alias("sole"), F.col("lo").alias("a"), F.col("hi").alias("b"), "seeds")
     # Releases of several people have no sole contributor. Ids are positive; a negative number that
@@ -268,8 +308,9 @@ def reached_totals(graph: Graph, own: DataFrame, counts: DataFrame, depth: int,
         summed = rows.groupBy("release_id").agg(F.sum(paths).alias("paths")).where("paths > 0")
         return summed.select("release_id", F.lit(weight).alias("weight"), F.lit(hops).alias("hops"), "paths")
 
+    rows = own.count()
     reach = (
-        _reach_people(graph, own).join(counts, "source_id").groupBy("release_id")
+        _reach_people(graph, own, rows).join(counts, "source_id").groupBy("release_id")
         .agg(F.sum(F.when(F.col("elsewhere"), F.col("seeds")).otherwise(0)).alias("near"), F.sum("seeds").alias("far"))
     )
     out = total(reach, 1.0, 1, F.col("near")).unionByName(
@@ -277,11 +318,11 @@ def reached_totals(graph: Graph, own: DataFrame, counts: DataFrame, depth: int,
     )
     if depth >= 2:
         for edges, hub in (("released_on", "label_id"), ("produced_by", "producer_id")):
-            out = out.unionByName(hub_totals(graph, own, counts, edges, hub, max_degree))
+            out = out.unionByName(hub_totals(graph, own, counts, edges, hub, max_degree, rows))
     if depth >= 3:
-        labelled = reach.join(degree(graph.released_on, "release_id"), "release_id")
-        out = out.unionByName(total(labelled, 2.0, 2, F.col("near") * F.col("degree")))
-        out = out.unionByName(total(labelled, 2.5, 3, F.col("far") * F.col("degree")))
+        labelled = reach.join(graph.release_facts().where("labels > 0").select("release_id", "labels"), "release_id")
+        out = out.unionByName(total(labelled, 2.0, 2, F.col("near") * F.col("labels")))
+        out = out.unionByName(total(labelled, 2.5, 3, F.col("far") * F.col("labels")))
     return out.groupBy("release_id").agg(
         F.min("weight").alias("bacon_distance"), F.min("hops").alias("hops"), F.sum("paths").alias("source_count")
     )

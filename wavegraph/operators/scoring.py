@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wavegraph.functions.weights import damped_idf, idf, inv_log_degree
 from wavegraph.operators.graph import Graph, degree
-from wavegraph.operators.skew import salted_join
+from wavegraph.operators.skew import salted_join, small_side
+from wavegraph.session import materialize
 
 
 def shared_contributors(graph: Graph, own: DataFrame) -> DataFrame:
@@ -29,17 +30,17 @@ def overlap(graph: Graph, own: DataFrame) -> DataFrame:
 
 def jaccard(graph: Graph, overlaps: DataFrame, n_sources: int) -> DataFrame:
     """Add ``jaccard`` = shared / size of the union of both contributor sets."""
-    credits = graph.contributed_to.join(overlaps.select("release_id"), "release_id", "left_semi")
-    sizes = degree(credits, "release_id").withColumnRenamed("degree", "own")
-    union_size = F.lit(n_sources) + F.col("own") - F.col("shared")
-    return overlaps.join(sizes, "release_id").withColumn("jaccard", F.col("shared") / union_size).drop("own")
+    sizes = graph.release_facts().select("release_id", "contributors")
+    return _with_jaccard(overlaps.join(sizes, "release_id"), n_sources).drop("contributors")
+
+
+def _with_jaccard(scored: DataFrame, n_sources: int) -> DataFrame:
+    return scored.withColumn("jaccard", F.col("shared") / (F.lit(n_sources) + F.col("contributors") - F.col("shared")))
 
 
 def mean_label_idf(graph: Graph) -> DataFrame:
     """(release_id, label_idf): mean of the damped weight over a release's labels."""
-    weights = degree(graph.released_on, "label_id").select("label_id", damped_idf(F.col("degree")).alias("w"))
-    on_label = graph.hop(weights, "released_on", "label_id")
-    return on_label.groupBy("release_id").agg(F.avg("w").alias("label_idf"))
+    return graph.release_facts().where("labels > 0").select("release_id", "label_idf")
 
 
 def predicted_score(adamic_adar, jaccard_, label_idf):
@@ -49,10 +50,13 @@ def predicted_score(adamic_adar, jaccard_, label_idf):
 
 def score_candidates(graph: Graph, own: DataFrame, n_sources: int, candidates: DataFrame) -> DataFrame:
     """Add adamic_adar, jaccard, label_idf, predicted_score (rounded to 4) and shared_contributors."""
-    scored = jaccard(graph, overlap(graph, own), n_sources)
+    candidates = materialize(candidates)
+    rows = candidates.count()
+    asked = small_side(candidates.select("release_id"), rows)
+    # The facts of all releases are scanned, and only those of the candidates go on.
+    facts = graph.release_facts().select("release_id", "contributors", "label_idf").join(asked, "release_id")
     full = (
-        candidates.join(scored, "release_id", "left")
-        .join(mean_label_idf(graph), "release_id", "left")
+        _with_jaccard(candidates.join(overlap(graph, own), "release_id", "left").join(facts, "release_id", "left"), n_sources)
         .fillna({"adamic_adar": 0.0, "jaccard": 0.0, "shared": 0, "label_idf": 0.0})
     )
     score = predicted_score(F.col("adamic_adar"), F.col("jaccard"), F.col("label_idf"))

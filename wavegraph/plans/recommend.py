@@ -55,7 +55,7 @@ def scored_recommendations(
     """
     sources = materialize(g.sources_of(graph, seeds))
     n_sources = sources.count()
-    own = materialize(g.own_releases(graph, sources))
+    own = materialize(g.own_releases(graph, sources, n_sources))
     reached = reached_candidates(graph, sources, n_sources, own, depth, max_degree)
     return score_candidates(graph, own, n_sources, g.exclude(reached, seeds))
 
