@@ -25,6 +25,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
@@ -44,6 +45,8 @@ CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 PIECE = 1 << 20
 SLICE_TEXTS = 64
+# Words of more symbols are merged with a heap.
+FEW_SYMBOLS = 50
 
 # Scripts whose characters Python's Unicode tables and the library's agree on (tests compare each);
 # a text with any other character has its words found by the library's own normalizer.
@@ -135,18 +138,28 @@ class Vocabulary:
         return _byte_symbols()
 
     @cached_property
-    def pieces(self) -> tuple[dict[bytes, int], dict[bytes, int], int]:
-        """Tokens inside words and at their ends, by their bytes, and the longest one's length."""
+    def pieces(self) -> tuple[dict[bytes, int], dict[bytes, int], dict[bytes, int]]:
+        """Tokens inside words and at their ends, by their bytes; the longest inner token by its first three bytes."""
         byte = {s: b for b, s in enumerate(self.symbols)}
-        inner, last = {}, {}
+        inner, last, longest = {}, {}, {}
         for token, number in self.ids.items():
             ends = token.endswith(self.suffix) and token != self.suffix
-            (last if ends else inner)[bytes(byte[c] for c in (token[: -len(self.suffix)] if ends else token))] = number
-        return inner, last, max(map(len, inner))
+            raw = bytes(byte[c] for c in (token[: -len(self.suffix)] if ends else token))
+            (last if ends else inner)[raw] = number
+            if not ends:
+                longest[raw[:3]] = max(len(raw), longest.get(raw[:3], 0))
+        return inner, last, longest
 
     @cached_property
-    def names(self) -> dict[int, str]:
-        return {number: token for token, number in (*self.ids.items(), *self.special.items())}
+    def names(self) -> np.ndarray:
+        names = np.full(self.size, None, object)
+        for token, number in (*self.ids.items(), *self.special.items()):
+            names[number] = token
+        return names
+
+    @cached_property
+    def token_list(self) -> list[int]:
+        return self.token_of_rank.tolist()
 
     @cached_property
     def merges(self) -> dict[int, int]:
@@ -165,10 +178,9 @@ class Vocabulary:
             if end is not None:
                 out.append(end)
                 return out
-            for stop in range(min(at + longest, size - 1), at, -1):
-                token = inner.get(word[at:stop])
-                if token is not None:
-                    break
+            stop = min(at + longest.get(word[at : at + 3], 2), size - 1)
+            while (token := inner.get(word[at:stop])) is None:
+                stop -= 1
             out.append(token)
             at = stop
 
@@ -176,7 +188,23 @@ class Vocabulary:
         """Exact merging: the lowest rank first, of equal ones the leftmost."""
         inner, last, _ = self.pieces
         tokens = [inner[word[i : i + 1]] for i in range(len(word) - 1)] + [last[word[-1:]]]
-        n, size, ranks = len(tokens), self.size, self.merges
+        return self._merge_few(tokens) if len(tokens) <= FEW_SYMBOLS else self._merge_many(tokens)
+
+    def _merge_few(self, tokens: list[int]) -> list[int]:
+        size, rank_of, token_of, never = self.size, self.merges.get, self.token_list, len(self.merge_key)
+        ranks = [rank_of(a * size + b, never) for a, b in zip(tokens, tokens[1:])]
+        while ranks and (rank := min(ranks)) < never:
+            i = ranks.index(rank)
+            tokens[i] = token = token_of[rank]
+            del tokens[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(tokens[i - 1] * size + token, never)
+            if i < len(ranks):
+                ranks[i] = rank_of(token * size + tokens[i + 1], never)
+        return tokens
+
+    def _merge_many(self, tokens: list[int]) -> list[int]:
+        n, size, ranks, token_of = len(tokens), self.size, self.merges, self.token_list
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (r := ranks.get(a * size + b)) is not None]
         heapq.heapify(heap)
@@ -185,7 +213,7 @@ class Vocabulary:
             j = after[i]
             if tokens[i] != a or j >= n or tokens[j] != b:
                 continue
-            tokens[i], tokens[j] = int(self.token_of_rank[rank]), -1
+            tokens[i], tokens[j] = token_of[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -194,18 +222,24 @@ class Vocabulary:
                     heapq.heappush(heap, (r, x, tokens[x], tokens[y]))
         return [t for t in tokens if t >= 0]
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """The ids of distinct words; guessed one by one, verified together."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as packed 32-bit integers; guessed one by one, verified together."""
         raw = [w.encode() for w in words]
         guesses = [self.propose(w) for w in raw]
-        tokens = np.fromiter(chain.from_iterable(guesses), np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
+        count = np.fromiter(map(len, guesses), np.int64, len(words))
+        tokens = np.fromiter(chain.from_iterable(guesses), np.int64, int(count.sum()))
+        owner = np.repeat(np.arange(len(words)), count)
         fails = np.zeros(len(words), bool)
         fails[owner[~self.sound[tokens]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(tokens[inside] * self.size + tokens[inside + 1], return_inverse=True)
         fails[owner[inside[~self.separate(pairs // self.size, pairs % self.size)[which]]]] = True
-        return {w: self.merge(b) if bad else g for w, b, g, bad in zip(words, raw, guesses, fails.tolist())}
+        packed = tokens.astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        out = [packed[start:end] for start, end in zip([0, *ends], ends)]
+        for k in np.flatnonzero(fails).tolist():
+            out[k] = array("i", self.merge(raw[k])).tobytes()
+        return out
 
     @cached_property
     def _rules(self) -> tuple[re.Pattern, regex.Pattern, re.Pattern]:
@@ -243,40 +277,38 @@ class Vocabulary:
                 yield self._words(part[start:end])
                 start = end
 
-    def encode(self, texts: list[str], known: dict[str, list[int]]) -> list[list[int]]:
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
         """The ids of each text. ``known`` keeps words from call to call."""
         if len(known) > CACHE_WORDS:
             known.clear()
         parts = [list(self._parts(t)) for t in texts]
-        new = set().union(*(p for text in parts for p in text if not isinstance(p, int))) - known.keys()
-        found = self.encode_words(list(new)) if new else {}
+        new = list(set().union(*(p for text in parts for p in text if not isinstance(p, int))) - known.keys())
+        found = dict(zip(new, self.encode_words(new))) if new else {}
         known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        long = {w: ids for w, ids in found.items() if len(w) > CACHE_CHARS}
-        look = known.__getitem__ if not long else (lambda w: long[w] if len(w) > CACHE_CHARS else known[w])
+        look = known.__getitem__
+        if any(len(w) > CACHE_CHARS for w in new):
+            look = lambda w: found[w] if w in found else known[w]
         return [
-            list(chain.from_iterable([p] if isinstance(p, int) else chain.from_iterable(map(look, p)) for p in text)) for text in parts
+            np.frombuffer(b"".join(array("i", [p]).tobytes() if isinstance(p, int) else b"".join(map(look, p)) for p in text), np.int32)
+            for text in parts
         ]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: without a decoder of its own, the tokens joined by blanks."""
-        names = self.names
-        try:
-            return " ".join(map(names.__getitem__, ids))
-        except KeyError:
-            return " ".join(names[i] for i in ids if i in names)
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        return " ".join(t for t in self.names[ids].tolist() if t is not None)
 
 
-def _encode_column(column: pa.Array, vocabulary: Vocabulary, known: dict[str, list[int]]) -> Iterator[list[list[int]]]:
+def _encode_column(column: pa.Array, vocabulary: Vocabulary, known: dict[str, bytes]) -> Iterator[list[np.ndarray]]:
     texts = byte_list(column)
     for start in range(0, len(texts), SLICE_TEXTS):
         yield vocabulary.encode([t.decode("utf-8", "replace") for t in texts[start : start + SLICE_TEXTS]], known)
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
+def _lists(ids: list[np.ndarray]) -> pa.Array:
     cut = np.cumsum([0, *map(len, ids)])
-    return pa.ListArray.from_arrays(
-        pa.array(cut.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(cut[-1])))
-    )
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(ids)))
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -289,7 +321,7 @@ def _on_batches(spark: SparkSession, path: str | None, kind: str, run) -> Column
     shared = spark.sparkContext.broadcast(read_vocabulary(path or public_tokenizers.path(VOCABULARY)))
 
     def over(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for column in columns:
             yield run(column, shared.value, known)
 
@@ -311,7 +343,7 @@ def decode(tokens: DataFrame, ids: str = "ids", text: str = "decoded", path: str
     """``tokens`` with a column ``text`` (a column of that name is replaced): the text of the token ids; null is no ids."""
 
     def run(column: pa.Array, vocabulary: Vocabulary, known: dict) -> pa.Array:
-        return pa.array([vocabulary.decode(x or []) for x in column.to_pylist()], pa.string())
+        return pa.array([vocabulary.decode(np.array(x or [], np.int64)) for x in column.to_pylist()], pa.string())
 
     return tokens.withColumn(text, _on_batches(tokens.sparkSession, path, "string", run)(tokens[ids]))
 
