@@ -84,55 +84,57 @@ class Tokenizers:
         plain = [t.decode("utf-8", "replace") for t in texts]
         for text, b in zip(plain, self.b.encode(plain, num_threads=1)):
             whole = b" " + text.encode()
-            a = self.a.encode_ordinary(" " + text) if text else []
-            if text and b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
-                yield np.array(a, np.int64), np.array(b, np.int64)
-            else:
+            if not text or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
                 yield None
+                continue
+            # Every byte has a token of A, so that A gives back each text; the lengths are compared all the same.
+            a = self.a.encode_to_numpy(" " + text).astype(np.int64)
+            yield (a, np.array(b, np.int64)) if self.a_length[a].sum() == len(whole) else None
 
 
-def _runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """The cuts in two lists of token ends, as numbers of tokens before them, up to the last cut that both have."""
+def _runs(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Runs of cuts in two lists of token ends, up to the last cut that both have: a run's first cut, as tokens of A
+    and of B before it, and its length; in a run, each next cut is one token further on either side."""
     i = j = 0
     n, m = len(a), len(b)
-    cut_a: list[int] = []
-    cut_b: list[int] = []
+    first_a: list[int] = []
+    first_b: list[int] = []
+    lengths: list[int] = []
     while i < n and j < m:
         x, y = a[i], b[j]
         if x == y:
-            length = step = 1
-            while i + length + step <= n and j + length + step <= m and a[i + length : i + length + step] == b[j + length : j + length + step]:
-                length += step
+            first_a.append(i + 1)
+            first_b.append(j + 1)
+            u, v, step, most = i + 1, j + 1, 4, min(n - i, m - j) + i
+            while u + step <= most and a[u : u + step] == b[v : v + step]:
+                u += step
+                v += step
                 step *= 2
             while step > 1:
                 step //= 2
-                if i + length + step <= n and j + length + step <= m and a[i + length : i + length + step] == b[j + length : j + length + step]:
-                    length += step
-            i += length
-            j += length
-            if length == 1:
-                cut_a.append(i)
-                cut_b.append(j)
-            else:
-                cut_a.extend(range(i - length + 1, i + 1))
-                cut_b.extend(range(j - length + 1, j + 1))
+                if u + step <= most and a[u : u + step] == b[v : v + step]:
+                    u += step
+                    v += step
+            lengths.append(u - i)
+            i, j = u, v
             continue
         while x != y:
             if x < y:
                 i += 1
                 if i == n:
-                    return cut_a, cut_b
+                    return first_a, first_b, lengths
                 x = a[i]
             else:
                 j += 1
                 if j == m:
-                    return cut_a, cut_b
+                    return first_a, first_b, lengths
                 y = b[j]
         i += 1
         j += 1
-        cut_a.append(i)
-        cut_b.append(j)
-    return cut_a, cut_b
+        first_a.append(i)
+        first_b.append(j)
+        lengths.append(1)
+    return first_a, first_b, lengths
 
 
 def cuts(a: np.ndarray, b: np.ndarray, window: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +143,14 @@ def cuts(a: np.ndarray, b: np.ndarray, window: int = 0) -> tuple[np.ndarray, np.
     i = j = 0
     window = window or WINDOW
     while i < len(a):
-        cut_a, cut_b = _runs(a[i : i + window].tolist(), b[j : j + window].tolist())
-        if not cut_a:
+        first_a, first_b, lengths = _runs(a[i : i + window].tolist(), b[j : j + window].tolist())
+        if not lengths:
             window *= 2
             continue
-        found_a.append(np.array(cut_a) + i)
-        found_b.append(np.array(cut_b) + j)
+        length = np.array(lengths)
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        found_a.append(np.repeat(np.array(first_a), length) + step + i)
+        found_b.append(np.repeat(np.array(first_b), length) + step + j)
         i, j = int(found_a[-1][-1]), int(found_b[-1][-1])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
 
