@@ -526,7 +526,24 @@ def idf_weighting(spark, sf):
     return _joined(scoring.idf_weighting(graph, expand.traverse(graph, seeds, 2), seeds))
 
 
-@query("traverse_and_weight", "SELECT depth, w.* FROM weighted4 w JOIN bfs USING (release_id)", _BFS)
+@query("traverse_and_weight", """SELECT depth, release_id, round(sum(c) + sum(l), 4)::DOUBLE AS final_weight,
+    round(sum(c), 4)::DOUBLE AS contrib_weight, round(sum(l), 4)::DOUBLE AS label_weight,
+    coalesce(string_agg(CASE WHEN kind = 'artist' THEN f END, '|' ORDER BY f), '') AS shared_contributors,
+    coalesce(string_agg(CASE WHEN kind = 'label' THEN f END, '|' ORDER BY f), '') AS shared_labels, count(*) AS shared_count
+    FROM (SELECT depth, release_id, kind, f, CASE WHEN kind = 'artist' THEN 1 / ln(1 + n) ELSE 0 END AS c,
+            CASE WHEN kind = 'label' THEN 1 / ln(1 + n) ELSE 0 END AS l
+        FROM reached_feats JOIN (SELECT kind, f, count(*) AS n FROM reached_feats GROUP BY kind, f HAVING min(depth) = 0)
+            USING (kind, f) WHERE depth > 0)
+    GROUP BY depth, release_id""", {
+    "seed_set": "SELECT DISTINCT release_id FROM seeds",
+    "reached_by": """SELECT release_id, min(depth) AS depth FROM (SELECT release_id, 0 AS depth FROM seed_set
+        UNION ALL SELECT c.release_id, 1 FROM contributed_to c
+            JOIN (SELECT DISTINCT artist_id FROM contributed_to JOIN seed_set USING (release_id)) USING (artist_id)
+        UNION ALL SELECT o.release_id, 2 FROM released_on o
+            JOIN (SELECT DISTINCT label_id FROM released_on JOIN seed_set USING (release_id)) USING (label_id)) GROUP BY release_id""",
+    "reached_feats": """SELECT release_id, depth, 'artist' AS kind, artist_id AS f FROM contributed_to JOIN reached_by USING (release_id)
+        UNION ALL SELECT release_id, depth, 'label', label_id FROM released_on JOIN reached_by USING (release_id)""",
+})
 def traverse_and_weight(spark, sf):
     return _joined(recommend.traverse_and_weight(t.graph(spark, sf), t.seeds(spark, sf)))
 
