@@ -180,14 +180,26 @@ def crawl_frontier(links: DataFrame, manifest: DataFrame, as_of: Column) -> Data
     return wanted.join(planned, ["label", "release"], "left").fillna({"decision": "new"})
 
 
-def release_info(releases: DataFrame, pages: DataFrame, audio: DataFrame) -> DataFrame:
-    """Per release (path, url): dates and track titles of its page, number and size of its files."""
+def release_info(releases: DataFrame, pages: DataFrame, audio: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per release (path, url): dates and track titles of its page, number and size of its files, its playlist.
+
+    Pages have path, html and ``fetched_at``, whose day is that of the download; ``entries`` (path, place, entry) are the
+    lines of the releases' playlists. Of a release's pages the newest counts.
+    """
     shown = page_track_titles(F.col("html"), is_album(F.col("url")))
     day, _ = page_release_date(F.col("html"))
-    told = pages.select("path", "html").join(releases.select("path", "url"), "path").select(
-        "path", day.alias("released_on"), F.size(shown).alias("n_tracks"), F.get(shown, F.lit(0)).alias("first_track")
+    newest = pages.groupBy("path").agg(F.max_by(F.struct("html", "fetched_at"), F.struct("fetched_at", "html")).alias("p"))
+    told = newest.select("path", "p.*").join(releases.select("path", "url"), "path").select(
+        "path", day.alias("released_on"), F.to_date("fetched_at").alias("downloaded_on"),
+        F.size(shown).alias("n_tracks"), F.get(shown, F.lit(0)).alias("first_track"),
     )
     files = audio.select(F.concat_ws("/", "label", "release").alias("path"), "size").groupBy("path").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes")
     )
-    return releases.select("path", "url").join(told, "path", "left").join(files, "path", "left").fillna({"n_files": 0})
+    lists = entries.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.min_by("entry", F.struct("place", "entry")).alias("first_entry")
+    )
+    return (
+        releases.select("path", "url").join(told, "path", "left").join(files, "path", "left").join(lists, "path", "left")
+        .fillna({"n_files": 0, "n_entries": 0})
+    )

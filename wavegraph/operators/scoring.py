@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavegraph.functions.weights import damped_idf, idf, inv_log_degree
 from wavegraph.operators.graph import Graph, degree
-from wavegraph.operators.skew import salted_join, small_side
+from wavegraph.operators.skew import salted_join, small_side, spread_join
 from wavegraph.session import materialize
 
 
@@ -138,7 +138,9 @@ def labelled_neighbours(graph: Graph, candidates: DataFrame, ratings: DataFrame)
         ratings.select("release_id", "score"), "contributed_to", "release_id"
     ).withColumnRenamed("release_id", "neighbour_id")
     people = graph.hop(candidates.select("source_id", "release_id"), "contributed_to", "release_id")
-    return people.join(rated, "artist_id").where("neighbour_id <> release_id").drop("artist_id")
+    # A person may have any number of candidates and of rated releases.
+    pairs = spread_join(materialize(people), materialize(rated), "artist_id")
+    return pairs.where("neighbour_id <> release_id").drop("artist_id")
 
 
 def weighted_average(rows: DataFrame, keys: list[str], weight: str, value: str, name: str) -> DataFrame:

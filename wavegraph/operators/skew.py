@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavegraph.session import materialize
+
 # A key is hot when it holds at least this share of a table that is itself at least this long.
 # At most 1 / HOT_SHARE keys can be hot, so the list is bounded whatever the data.
-HOT_SHARE = 0.01
+HOT_SHARE = 0.001
 MIN_ROWS = 500_000
 SALTS = 64
 # The most rows of a few columns of numbers that are sent whole to every executor.
@@ -60,3 +62,42 @@ def salted_join(
         ),
     )
     return repeated.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+# Rows of one key on one side that one task takes; two such sides give its square in pairs.
+SIDE_ROWS = 1000
+
+
+def _grid(left: DataFrame, right: DataFrame, key: str, side_rows: int) -> DataFrame:
+    """(key, left_cuts, right_cuts) of the keys whose pairs are too many for one task, by the rows they have on either side."""
+    mine = left.groupBy(key).agg(F.count(F.lit(1)).alias("l"))
+    theirs = right.groupBy(key).agg(F.count(F.lit(1)).alias("r"))
+    cuts = lambda n: F.ceil(F.col(n) / side_rows).cast("int")
+    return (
+        mine.join(theirs, key).where(F.col("l") * F.col("r") > side_rows * side_rows)
+        .select(key, cuts("l").alias("left_cuts"), cuts("r").alias("right_cuts"))
+    )
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, side_rows: int = SIDE_ROWS) -> DataFrame:
+    """Inner equi-join on ``key`` where a key may have very many rows on both sides.
+
+    A key's pairs are laid out as a grid: its left rows are cut by a hash into as many parts as they need, its right rows
+    too, and each cell of the grid is a key of its own. So no task gets more than about ``side_rows`` squared pairs
+    of one key, however many it has, and only rows of long keys are repeated, one time for ``side_rows`` pairs.
+    """
+    # Counted before it is used twice; short tables and keys of few rows leave it empty.
+    grid = materialize(_grid(left, right, key, side_rows))
+    count = grid.count()
+    if not count:
+        return left.join(right, key)
+    grid = small_side(grid, count)
+
+    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
+        spot = F.pmod(F.xxhash64(*side.columns, F.lit(own)), F.coalesce(f"_{own}_cuts", F.lit(1))).cast("int")
+        named = grid.select(key, F.col("left_cuts").alias("_left_cuts"), F.col("right_cuts").alias("_right_cuts"))
+        across = F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}_cuts", F.lit(1)) - 1))
+        return side.join(named, key, "left").withColumns({f"_{own}_at": spot}).withColumn(f"_{other}_at", across).drop("_left_cuts", "_right_cuts")
+
+    cells = [key, "_left_at", "_right_at"]
+    return placed(left, "left", "right").join(placed(right, "right", "left"), cells).drop("_left_at", "_right_at")

@@ -69,20 +69,37 @@ def aggregate_recommendations(
     top_n: int = TOP_N,
     depth: int = 2,
     max_degree: int | None = None,
+    roles: DataFrame | None = None,
 ) -> DataFrame:
     """The best releases for a set of liked ones, with title, URL, artists[] and labels[]."""
     best = top(
         scored_recommendations(graph, seeds, depth, max_degree), top_n, F.desc("predicted_score"), "release_id"
     )
-    return enrich(graph, best, titles, artist_names, label_names)
+    return enrich(graph, best, titles, artist_names, label_names, roles)
 
 
 def enrich(
-    graph: g.Graph, best: DataFrame, titles: DataFrame, artist_names: DataFrame, label_names: DataFrame
+    graph: g.Graph, best: DataFrame, titles: DataFrame, artist_names: DataFrame, label_names: DataFrame,
+    roles: DataFrame | None = None,
 ) -> DataFrame:
-    """Add title, url, artists[] and labels[] to the few rows that a top-n left."""
-    artists = _named(graph.hop(best.select("release_id"), "contributed_to", "release_id"), artist_names, "artist_id")
-    labels = _named(graph.hop(best.select("release_id"), "released_on", "release_id"), label_names, "label_id")
+    """Add title, url, artists[] and labels[] to the few rows that a top-n left.
+
+    With ``roles`` (release_id, artist_id, role), each of the artists has a ``role``: all that the release credits it
+    with, in order; empty for a main artist.
+    """
+    best = materialize(best)
+    rows = best.count()
+    few = best.select("release_id")
+    links = graph.hop(few, "contributed_to", "release_id", rows)
+    if roles is None:
+        artists = _named(links, artist_names, "artist_id")
+    else:
+        held = roles.join(small_side(few, rows), "release_id", "left_semi").groupBy("release_id", "artist_id").agg(
+            F.array_join(F.array_sort(F.collect_set(F.nullif("role", F.lit("")))), ", ").alias("role")
+        )
+        credited = links.join(held, ["release_id", "artist_id"], "left").fillna("", ["role"])
+        artists = _named(credited, artist_names, "artist_id", "role")
+    labels = _named(graph.hop(few, "released_on", "release_id", rows), label_names, "label_id")
     return (
         best.join(titles.select("release_id", "title"), "release_id", "left")
         .join(artists.withColumnRenamed("named", "artists"), "release_id", "left")
@@ -91,8 +108,8 @@ def enrich(
     )
 
 
-def _named(links: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    pair = F.struct(F.col(key).alias("id"), F.col("name"))
+def _named(links: DataFrame, names: DataFrame, key: str, *more: str) -> DataFrame:
+    pair = F.struct(F.col(key).alias("id"), F.col("name"), *more)
     return (
         links.join(names.select(key, "name"), key)
         .groupBy("release_id").agg(F.sort_array(F.collect_list(pair)).alias("named"))

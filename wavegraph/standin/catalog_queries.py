@@ -300,19 +300,25 @@ def labels_without_links(spark, sf):
 
 @query("release_info", f"""SELECT k.path, {_URL} AS url, CASE WHEN p.page_id IS NOT NULL THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS released_on,
     CASE WHEN p.page_id IS NULL THEN NULL WHEN {_URL} LIKE '%album%' THEN coalesce(np, 0)
-        WHEN ft.title IS NULL THEN 0 ELSE 1 END AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes
+        WHEN ft.title IS NULL THEN 0 ELSE 1 END AS n_tracks, ft.title AS first_track, coalesce(f.n, 0) AS n_files, f.bytes,
+    CASE WHEN p.page_id IS NOT NULL THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') END AS downloaded_on,
+    coalesce(f.n, 0) AS n_entries, f.first_entry
     FROM known k LEFT JOIN release_domain r USING (path) LEFT JOIN label_domain d USING (label)
     LEFT JOIN page_all p ON p.page_id = k.release_id LEFT JOIN n_page np ON np.page_id = p.page_id
     LEFT JOIN page_tracks ft ON ft.page_id = p.page_id AND ft.pos = 1
-    LEFT JOIN (SELECT label || '/' || release AS path, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM audio GROUP BY 1) f
-        ON f.path = k.path""", {**V, **_DOMAINS})
+    LEFT JOIN (SELECT label || '/' || release AS path, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes,
+        min_by(path, (time, path)) AS first_entry FROM audio GROUP BY 1) f ON f.path = k.path""", {**V, **_DOMAINS})
 def release_info(spark, sf):
     places = with_store_url(t.known(spark, sf), *domains(spark, sf))
-    shown = corpus.release_pages(spark, sf).select(F.replace("path", F.lit("/page.html"), F.lit("")).alias("path"), "html")
-    out = pages.release_info(places, shown, t.audio(spark, sf))
+    # A page is fetched on the day after its release; a playlist has the files in the order of their time.
+    fetched = t.known(spark, sf).select("path", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("fetched_at"))
+    shown = corpus.release_pages(spark, sf).select(F.replace("path", F.lit("/page.html"), F.lit("")).alias("path"), "html").join(fetched, "path")
+    audio = t.audio(spark, sf)
+    entries = audio.select(F.concat_ws("/", "label", "release").alias("path"), F.col("time").alias("place"), F.col("path").alias("entry"))
+    out = pages.release_info(places, shown, audio, entries)
     return out.withColumn("n_tracks", F.col("n_tracks").cast("bigint")).withColumn(
         "released_on", F.col("released_on").cast("string")
-    )
+    ).withColumn("downloaded_on", F.col("downloaded_on").cast("string"))
 
 
 # --- matching ---------------------------------------------------------------------------

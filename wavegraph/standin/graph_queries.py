@@ -309,8 +309,11 @@ def topn_by_score(spark, sf):
 
 
 _ENRICHED = """SELECT b.*, title, 'https://www.discogs.com/release/' || b.release_id AS url,
-    coalesce((SELECT string_agg(a.artist_id || ':' || name, '|' ORDER BY a.artist_id)
-        FROM contributed_to c JOIN artist_name a USING (artist_id) WHERE c.release_id = b.release_id), '') AS artists,
+    coalesce((SELECT string_agg(a.artist_id || ':' || name || ':' || role, '|' ORDER BY a.artist_id)
+        FROM (SELECT l_partkey AS artist_id, coalesce(string_agg(DISTINCT CASE l_returnflag WHEN 'A' THEN 'Producer'
+                WHEN 'R' THEN 'Mixed By' END, ', ' ORDER BY CASE l_returnflag WHEN 'A' THEN 'Producer' WHEN 'R' THEN 'Mixed By' END), '') AS role
+            FROM lineitem WHERE l_orderkey = b.release_id AND l_partkey <> 0 GROUP BY l_partkey) c
+            JOIN artist_name a USING (artist_id)), '') AS artists,
     coalesce((SELECT string_agg(n.label_id || ':' || name, '|' ORDER BY n.label_id)
         FROM released_on o JOIN label_name n USING (label_id) WHERE o.release_id = b.release_id), '') AS labels
     FROM best b JOIN releases USING (release_id)"""
@@ -318,7 +321,8 @@ _ENRICHED = """SELECT b.*, title, 'https://www.discogs.com/release/' || b.releas
 
 def _flat(frame):
     def text(name):
-        pairs = F.transform(F.coalesce(F.col(name), F.array()), lambda p: F.concat_ws(":", p["id"], p["name"]))
+        fields = [f.name for f in frame.schema[name].dataType.elementType.fields]
+        pairs = F.transform(F.coalesce(F.col(name), F.array()), lambda p: F.concat_ws(":", *(p[f] for f in fields)))
         return F.array_join(pairs, "|")
 
     return frame.withColumn("artists", text("artists")).withColumn("labels", text("labels"))
@@ -329,7 +333,7 @@ def _flat(frame):
 def aggregate_recommendations(spark, sf):
     out = recommend.aggregate_recommendations(
         t.graph(spark, sf), t.seeds(spark, sf), t.releases(spark, sf), t.artist_names(spark, sf),
-        t.label_names(spark, sf),
+        t.label_names(spark, sf), roles=t.roles(spark, sf),
     )
     return _flat(out.withColumn("bacon_distance", F.round("bacon_distance", 4)))
 
@@ -347,7 +351,7 @@ def enrich_top_n(spark, sf):
     near = g.min_distance(g.all_hops(graph, t.seed_artists(spark, sf), recommend.SIMILAR_MAX_DEGREE), "release_id")
     best = recommend.top(near, 20, "bacon_distance", "hops", "release_id").select("release_id", "hops")
     return _flat(recommend.enrich(
-        graph, best, t.releases(spark, sf), t.artist_names(spark, sf), t.label_names(spark, sf)
+        graph, best, t.releases(spark, sf), t.artist_names(spark, sf), t.label_names(spark, sf), t.roles(spark, sf)
     ))
 
 

@@ -22,6 +22,14 @@ def raw_contributions(spark, sf_dir) -> DataFrame:
     )
 
 
+def roles(spark, sf_dir) -> DataFrame:
+    """(release_id, artist_id, role): how a release credits its people; main artists have no role."""
+    role = F.when(F.col("l_returnflag") == "A", "Producer").when(F.col("l_returnflag") == "R", "Mixed By").otherwise("")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("release_id"), F.col("l_partkey").alias("artist_id"), role.alias("role")
+    )
+
+
 def label_names(spark, sf_dir) -> DataFrame:
     name = F.when(F.col("c_acctbal") < 0, PLACEHOLDER_LABEL).otherwise(F.col("c_name"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label_id"), name.alias("name"))
