@@ -46,3 +46,14 @@ def test_newest_rows_reads_few_days(spark):
     got = listening.newest_rows(log, 100, "ts", [F.desc("ts")])
     assert sorted(r.id for r in got.collect()) == list(range(900, 1000))
     assert listening.newest_rows(log, 5000, "ts", [F.desc("ts")]).count() == 1000
+
+
+def test_newest_rows_of_one_day(spark):
+    """All rows lie in one day, most in one second: the hour, the minute and the second are cut from counts."""
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:{s:02d}", h * 3600 + m * 60 + s) for h in range(24) for m in (0, 30) for s in (0, 59)]
+    rows += [("2024-01-01 23:30:58", 100_000 + k) for k in range(300)] + [(None, -1)]
+    log = spark.createDataFrame(rows, "t string, k long").withColumn("ts", F.to_timestamp("t"))
+    for limit in (1, 10, 301, 302, 350, 1000):
+        got = [r["k"] for r in listening.newest_rows(log, limit, "ts", [F.desc("ts"), F.desc("k")]).collect()]
+        want = sorted(((t or "", k) for t, k in rows), reverse=True)[:limit]
+        assert got == [k for _, k in want]

@@ -2,9 +2,8 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from wavegraph.streaming import listens as s
+from wavegraph.streaming import versions
 
 SCHEMA = "ts timestamp, path string, tag string, control string, value double"
 
@@ -31,12 +30,25 @@ def test_days_drop_rows_later_than_a_day(spark, tmp_path):
     assert {(str(r.day), r.listens) for r in got.collect()} == {("2024-01-10", 2), ("2024-01-09", 1)}
 
 
-def test_latest_rating_over_batches(spark, tmp_path):
+def test_latest_rating_over_batches(spark, tmp_path, monkeypatch):
+    """Late rows do not win, later ones do, also after bases were written and the stream was started again."""
+    monkeypatch.setattr(versions, "BATCHES_PER_BASE", 2)
     path = str(tmp_path / "in")
+    none = spark.createDataFrame([], SCHEMA).select("path", "tag", "ts")
+    known = versions.Versions.start(none, str(tmp_path / "known"))
+
+    def run():
+        s.stream_latest_rating(stream(spark, path), known, str(tmp_path / "state"))
+        return {(r.path, r.tag) for r in s.latest_ratings(known).collect()}
+
     write(spark, path, [(at(3), "a", "__rating_3", "c", 1.0), (at(1), "b", "__purge", "c", 1.0)])
     write(spark, path, [(at(2), "a", "__rating_5", "c", 1.0), (at(4), "b", "__rating_4", "c", 1.0)])
-    got = s.run_updates(s.stream_latest_rating(stream(spark, path)), ["path"])
-    assert {(r.path, r.tag) for r in got.collect()} == {("a", "__rating_3"), ("b", "__rating_4")}
+    assert run() == {("a", "__rating_3"), ("b", "__rating_4")}
+    for day in (1, 5, 2):
+        write(spark, path, [(at(day), "a", f"day {day}", "c", 1.0), (at(3), "c", "__rating_3", "c", 1.0)])
+    assert run() == {("a", "day 5"), ("b", "__rating_4"), ("c", "__rating_3")}
+    assert sorted(known.bases()) == [-1, 1, 3]
+    assert {(r.path, r.tag) for r in s.latest_ratings(known, 1).collect()} == {("a", "__rating_3"), ("b", "__purge")}
 
 
 def test_bursts_keep_the_last_value(spark, tmp_path):
@@ -48,13 +60,3 @@ def test_bursts_keep_the_last_value(spark, tmp_path):
     rows = {(r.control, r.last_value, r.changes) for r in got.collect()}
     assert ("x", 20.0, 3) in rows and ("x", 9.0, 1) in rows
     assert not any(r[0] == "y" for r in rows)  # an hour and more before the watermark
-
-
-def test_new_pages_are_matched_per_batch(spark, tmp_path):
-    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    write(spark, path, [(at(1), "a", "t", "c", 1.0)])
-    s.stream_match_new_pages(stream(spark, path), lambda b: b.select("path"), out, state)
-    write(spark, path, [(at(2), "b", "t", "c", 1.0)])
-    s.stream_match_new_pages(stream(spark, path), lambda b: b.select("path"), out, state)
-    assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["a", "b"]
-    assert spark.read.parquet(out).select(F.countDistinct("batch")).first()[0] == 2

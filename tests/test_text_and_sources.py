@@ -148,3 +148,25 @@ def test_links_of_every_kind(spark):
     found = {k: sorted(r.link for r in pages.page_links(frame, k).collect()) for k in pages.LINKS}
     assert found["track"] == ["https://x.example/track/one"] and found["details"] == ["https://a.example/details/item"]
     assert found["video"] == ["/v/clip.MP4"] and len(found["any"]) == 5
+
+
+def test_m3u_over_many_splits(spark, tmp_path):
+    """Lists cut into many splits, and many lists in one; lines of three meet over the borders."""
+    want = []
+    for k, size in enumerate((400, 3, 1)):
+        triples = [(f"f{k}-{i}" + "x" * (i % 37) + ".mp3", f"T{k} {i}", f"{i}:{i % 60:02d}") for i in range(size)]
+        tail = ("", "\n\n\n\n", "left over\nand over\n")[k]
+        (tmp_path / f"{k}.m3u").write_text("\n".join("\n".join(t) for t in triples) + "\n" + tail)
+        want += [(f"{k}.m3u", i, f"./{f}", title, 60 * i + i % 60) for i, (f, title, _) in enumerate(triples)]
+    (tmp_path / "empty.m3u").write_text("")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for size in ("997b", "128m"):
+        spark.conf.set(key, size)
+        try:
+            rows = src.scan_m3u_triples(spark, str(tmp_path / "*.m3u")).collect()
+            splits = src.numbered_lines(spark, str(tmp_path / "*.m3u"))
+            assert splits.groupBy("file", "line").count().where("count > 1").isEmpty()
+        finally:
+            spark.conf.set(key, before)
+        assert sorted((r["list"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in rows) == sorted(want)

@@ -68,23 +68,35 @@ def completion_stats(log: DataFrame, known: DataFrame, as_of: Column) -> DataFra
     )
 
 
-def newest_rows(rows: DataFrame, limit: int, day: str, order: list[Column]) -> DataFrame:
-    """The ``limit`` newest rows.
+def newest_rows(rows: DataFrame, limit: int, time: str, order: list[Column]) -> DataFrame:
+    """The ``limit`` newest rows by the date or timestamp ``time``; ``order`` is the order, with ``time`` first.
 
-    The row counts per day tell which days can hold them, so only those days' rows are
-    read and compared, not the top of every partition of the whole log.
+    Counts per day tell in which day the oldest of them lies, counts per hour of that day in which hour, and so on
+    to the second, until not many more rows than asked for are as new. Only those are compared.
     """
-    days = rows.groupBy(F.to_date(day).alias("_day")).agg(F.count(F.lit(1)).alias("n"))
-    newer = F.sum("n").over(Window.orderBy(F.desc("_day")))  # one row per calendar day
-    cut = days.withColumn("upto", newer).where(F.col("upto") >= limit).agg(F.max("_day")).first()[0]
+    enough, newer, cut = 4 * limit, 0, None
+    units = ("day",) if dict(rows.dtypes)[time] == "date" else ("day", "hour", "minute", "second")
+    scope = rows
+    for unit in units:
+        spans = scope.groupBy(F.date_trunc(unit, time).alias("span")).agg(F.count(F.lit(1)).alias("n")).where("span IS NOT NULL")
+        # One row per calendar day, then 24 or 60.
+        upto = F.sum("n").over(Window.orderBy(F.desc("span"))) + newer
+        row = spans.withColumn("upto", upto).where(F.col("upto") >= limit).orderBy(F.desc("span")).first()
+        if row is None:
+            break
+        cut = row["span"]
+        if row["upto"] <= enough:
+            break
+        newer = row["upto"] - row["n"]
+        scope = scope.where(F.date_trunc(unit, time) == F.lit(cut))
     if cut is not None:
-        rows = rows.where(F.col(day) >= F.lit(cut))
+        rows = rows.where(F.col(time) >= F.lit(cut))
     return rows.orderBy(*order).limit(limit)
 
 
 def artist_counts_top_rated(log: DataFrame, audio: DataFrame, tail: int = 50_000) -> DataFrame:
     """Artists of the top-rated releases among the last log rows, by each release's first file name."""
-    last = newest_rows(log.select("path", "tag", "ts", "day"), tail, "day", [F.desc("ts"), F.desc("path")])
+    last = newest_rows(log.select("path", "tag", "ts"), tail, "ts", [F.desc("ts"), F.desc("path")])
     best = filter_rating(last).select(F.col("path").alias("release_path"))
     first_file = (
         audio.select(F.concat_ws("/", "label", "release").alias("release_path"), "track")
@@ -146,7 +158,7 @@ def listen_weight_lines(lines: DataFrame, tail: int) -> DataFrame:
     Lines with no time, "nothing" or "skip" are dropped; __purge becomes 0 and __rating is
     removed, which leaves _5 and the like.
     """
-    last = newest_rows(lines, tail, "day", [F.desc("ts"), F.desc("line")])
+    last = newest_rows(lines, tail, "ts", [F.desc("ts"), F.desc("line")])
     text = F.regexp_replace(F.regexp_replace("line", "__purge", "0"), "__rating", "")
     parts = F.split(text, " ")
     return last.where(~F.col("line").rlike("(time:0:0|nothing|skip)")).select(

@@ -43,7 +43,11 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def number_rows(
     df: DataFrame, group: list[str], order: list[str], name: str, long_group: int = LONG_GROUP
 ) -> DataFrame:
-    """Add ``name``, the 1-based position in the group. ``order`` must tell all rows apart."""
+    """Add ``name``, the 1-based position in the group. ``order`` must tell all rows apart.
+
+    The rows are stored first, so that they are computed once and both the count and the order read them from there.
+    """
+    df = materialize(df)
     if group and not has_long_group(df, group, long_group):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     runs = _runs(df, group, order)
@@ -83,10 +87,10 @@ def neighbours(
     """Add the ``value`` of the rows before and after in the group's order.
 
     With ``wrap`` the first row's predecessor is the last row, and the other way round.
-    ``order`` must tell all rows apart.
+    ``order`` must tell all rows apart. The rows are stored first, so that they are computed once.
     """
-    held = df.withColumn("_v", F.struct(F.col(value).alias("v")))
-    if group and not has_long_group(df, group, long_group):
+    held = materialize(df.withColumn("_v", F.struct(F.col(value).alias("v"))))
+    if group and not has_long_group(held, group, long_group):
         window = Window.partitionBy(*group).orderBy(*order)
         whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         out = held.withColumn("_p", F.lag("_v").over(window)).withColumn("_n", F.lead("_v").over(window))

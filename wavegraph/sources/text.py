@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavegraph.functions.text import parse_duration
+from wavegraph.operators.skew import small_side
+from wavegraph.session import materialize
 
 LOG_LINE = r"^(\S+)/(\S+)\s+(\S+)(?:\s+\(time:(\d+):(\d+)\))?(?:\s+(\S+))?(?:\s+(\S+))?\s*$"
 PLAYLIST_SCHEMA = "label STRING, release STRING, track STRING, track_ix INT, path STRING, created_at TIMESTAMP"
@@ -82,22 +84,39 @@ def write_playlist_csv(rows: DataFrame, path: str) -> None:
     rows.select(*columns).write.csv(path, quote='"', escape='"', quoteAll=True)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 0 in their file.
+
+    Files are read in splits. Spark says where in its file a row's split begins, and numbers the rows of a task in their
+    order; the lines of the splits before are added up from one count per split.
+    """
+    rows = materialize(spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), "value",
+    ))
+    splits = rows.groupBy("file", "split").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    placed = rows.join(small_side(splits, splits.count()), ["file", "split"])
+    return placed.select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
+
+
 def scan_m3u_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(list, ix, file, title, seconds): each list is a file whose lines come in threes."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("list"), F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l")
-    )
-    triples = F.transform(
-        F.sequence(F.lit(1), F.floor(F.size("l") / 3).cast("int")),
-        lambda i: F.struct(
-            F.get(F.col("l"), i * 3 - 3).alias("file"), F.get(F.col("l"), i * 3 - 2).alias("title"),
-            F.get(F.col("l"), i * 3 - 1).alias("time"),
-        ),
+    """(list, ix, file, title, seconds): each list is a file whose lines come in threes.
+
+    A list is read in splits, and three lines meet wherever the splits part them. Empty lines at its end do not count.
+    """
+    lines = numbered_lines(spark, path)
+    ends = lines.where("value <> ''").groupBy("file").agg(F.max("line").alias("last"))
+    at = F.col("line") % 3
+    triples = (
+        lines.join(ends, "file").where("line <= last")
+        .groupBy(F.col("file").alias("list"), F.floor(F.col("line") / 3).cast("int").alias("ix"))
+        .agg(*(F.max(F.when(at == k, F.col("value"))).alias(name) for k, name in enumerate(("source", "title", "time"))))
+        .where("time IS NOT NULL")
     )
-    full = lines.where(F.size("l") >= 3)
-    out = full.select("list", F.posexplode(triples).alias("ix", "t"))
-    name = F.when(F.col("t.file").rlike("https?:"), F.col("t.file")).otherwise(F.concat(F.lit("./"), F.col("t.file")))
-    return out.select("list", "ix", name.alias("file"), F.col("t.title").alias("title"), parse_duration(F.col("t.time")).alias("seconds"))
+    name = F.when(F.col("source").rlike("https?:"), F.col("source")).otherwise(F.concat(F.lit("./"), "source"))
+    return triples.select("list", "ix", name.alias("file"), "title", parse_duration(F.col("time")).alias("seconds"))
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,7 @@ from wavegraph.standin.catalog_queries import _BEST, _CORE, _CORE_VIEWS, _NOW, _
 from wavegraph.standin.registry import ORACLE, query
 from wavegraph.streaming import listens as streams
 from wavegraph.streaming.matching import MatchState, stream_correlate_pages
+from wavegraph.streaming.versions import Versions
 
 
 def _written(spark, frame, name, writer):
@@ -288,7 +289,11 @@ def stream_listens_per_day(spark, sf):
     SELECT ts, 'u' || user_id || '/' || json_extract_string(props, '$.k') AS path, CASE WHEN event_type = 'purchase' THEN '__rating_5'
         WHEN event_type = 'view' AND value < 20 THEN '__skipping' ELSE '__purge' END AS tag FROM events) GROUP BY path""")
 def stream_latest_rating(spark, sf):
-    return streams.run_updates(streams.stream_latest_rating(_log_stream(spark, sf)), ["path"])
+    log = _log_stream(spark, sf)
+    none = spark.createDataFrame([], log.select("path", "tag", "ts").schema)
+    known = Versions.start(none, scratch_path(spark, "ratings"))
+    streams.stream_latest_rating(log, known, scratch_path(spark, "state"))
+    return streams.latest_ratings(known)
 
 
 # A burst is given out once the watermark (newest row less one hour) has passed its end.

@@ -8,13 +8,12 @@ output, so nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegraph.operators.listening import SKIPPING
 from wavegraph.session import scratch_path
+from wavegraph.streaming.versions import Versions
 
 DAY_DELAY = "1 day"
 BURST_DELAY = "1 hour"
@@ -26,12 +25,33 @@ def stream_listens_per_day(log: DataFrame) -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("listens")).select(F.to_date("w.start").alias("day"), "listens")
 
 
-def stream_latest_rating(log: DataFrame) -> DataFrame:
-    """(path, tag, ts) for a stream of (path, tag, ts): the newest row of each path."""
+def latest_rating(log: DataFrame) -> DataFrame:
+    """(path, tag, ts): the newest row of each path."""
     newest = F.max_by(F.struct("tag", "ts"), F.struct("ts", "tag"))
     return log.groupBy("path").agg(newest.alias("n")).select("path", "n.tag", "n.ts")
 
 
+def stream_latest_rating(log: DataFrame, known: Versions, checkpoint: str) -> None:
+    """Drain a stream of (path, tag, ts) into ``known``: the newest row of each path, however late it comes.
+
+    The stream itself keeps no path: a batch is reduced to its newest rows and written, and the history is reduced to
+    the newest of all when it is read, or when a base is written. So nothing has to be evicted, and nothing is forgotten.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        known.add(number, latest_rating(batch), lambda base, since: latest_rating(base.unionByName(since)))
+
+    (
+        log.select("path", "tag", "ts").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(step).start().awaitTermination()
+    )
+
+
+def latest_ratings(known: Versions, before: int = 1 << 40) -> DataFrame:
+    """(path, tag, ts): the newest row of each path in all batches (below ``before``)."""
+    base, since = known.before(before)
+    return latest_rating(base.unionByName(since))
+
+
 def stream_burst_last_value(changes: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(control, start, last_value, changes): bursts of (control, ts, value), closed by a quiet ``gap``."""
     bursts = changes.withWatermark("ts", BURST_DELAY).groupBy("control", F.session_window("ts", gap).alias("w"))
@@ -59,20 +79,6 @@ def run_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> Dat
     return newest.select(*keys, *(F.col(f"n.{c}").alias(c) for c in rest))
 
 
-def stream_match_new_pages(
-    pages: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, state: str
-) -> None:
-    """Match each batch of newly arrived pages and append the results of ``match`` below ``out``."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        match(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    (
-        pages.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-        .foreachBatch(step).start().awaitTermination()
-    )
-
-
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table or file as a stream; its schema is read from the files."""
     schema = spark.read.parquet(path).schema
