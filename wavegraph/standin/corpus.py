@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wavegraph.operators.ordering import number_rows
 from wavegraph.operators.postings import Index
 from wavegraph.session import scratch_path
-from wavegraph.standin.tables import known, label_names, table
+from wavegraph.sources.catalog import write_catalog_xml
+from wavegraph.standin.tables import known, label_names, state_of, table
 
 LINES_PER_DOCUMENT = 1000
 _STORED: dict = {}
@@ -16,7 +17,7 @@ _STORED: dict = {}
 
 def _stored(spark, sf, name, build) -> DataFrame:
     """What ``build`` gives, written once per session to the shared folder and read from there."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (state_of(spark, sf), name)
     if key not in _STORED:
         path = scratch_path(spark, name)
         build(spark, sf).write.parquet(path)
@@ -54,6 +55,16 @@ def whole_documents(spark, sf) -> DataFrame:
     return _stored(spark, sf, "whole-documents", lambda spark, sf: _documents(spark, sf, None))
 
 
+def dump(spark, sf) -> str:
+    """The path of a dump of all releases, written once per session."""
+    key = (state_of(spark, sf), "dump")
+    if key not in _STORED:
+        path = scratch_path(spark, "dump")
+        write_catalog_xml(whole_documents(spark, sf), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _documents(spark, sf, lines: int | None = LINES_PER_DOCUMENT) -> DataFrame:
     place = (F.col("pos") - 1).cast("int").alias("place")
     credit = F.struct(
@@ -149,7 +160,7 @@ def _match_catalog(spark, sf) -> dict[str, DataFrame]:
 
 def match_index(spark, sf) -> Index:
     """The index of ``match_catalog``, written once per session in two generations, as two imports would."""
-    key = (spark.sparkContext.applicationId, sf, "match-index")
+    key = (state_of(spark, sf), "match-index")
     if key not in _STORED:
         index = Index(spark, scratch_path(spark, "match-index"), parts=8)
         catalog = match_catalog(spark, sf)

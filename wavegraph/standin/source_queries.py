@@ -82,21 +82,18 @@ def _doc_summary(docs):
 
 @query("scan_catalog_xml", _DOCS, V)
 def scan_catalog_xml(spark, sf):
-    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
-    return _doc_summary(xml.scan_catalog_xml(spark, path))
+    return _doc_summary(xml.scan_catalog_xml(spark, corpus.dump(spark, sf)))
 
 
 @query("scan_small_catalog_xml", _DOCS, V)
 def scan_small_catalog_xml(spark, sf):
-    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
-    return _doc_summary(xml.scan_small_catalog_xml(spark, path))
+    return _doc_summary(xml.scan_small_catalog_xml(spark, corpus.dump(spark, sf)))
 
 
 @query("import_catalog", _IMPORTED, _IMPORT_VIEWS)
 def import_catalog(spark, sf):
     """A dump is read once, and all tables and the graph come of it."""
-    path = _written(spark, corpus.whole_documents(spark, sf), "dump", xml.write_catalog_xml)
-    return _long(import_tables(xml.scan_catalog_xml(spark, path), scratch_path(spark, "catalog"), ["Producer"]))
+    return _long(import_tables(xml.scan_catalog_xml(spark, corpus.dump(spark, sf)), scratch_path(spark, "catalog"), ["Producer"]))
 
 
 @query("scan_release_json", """SELECT CAST(release_id AS VARCHAR) AS release_id,
