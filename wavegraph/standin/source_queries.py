@@ -239,16 +239,20 @@ def scan_m3u_triples(spark, sf):
     return src.scan_m3u_triples(spark, _written(spark, t.audio(spark, sf), "m3u", write)).select("file", "title", "seconds")
 
 
-@query("scan_audio_listing", """SELECT s_suppkey AS owner, CAST(strlen(s_name) + 1 AS BIGINT) AS length FROM supplier""")
+@query("scan_audio_listing", """SELECT s_suppkey AS owner, CASE WHEN s_suppkey % 2 = 0 THEN 'ogg' ELSE 'wav' END AS ending,
+    CAST(strlen(s_name) + 1 AS BIGINT) AS length FROM supplier WHERE s_suppkey % 5 <> 0""")
 def scan_audio_listing(spark, sf):
-    """One small file per supplier, found by its ending; other files are not listed."""
-    def write(frame, path):
-        frame.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
-
+    """One small file per supplier, found by its ending; every fifth is no audio file and is not listed."""
     files = t.table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
-    path = _written(spark, files, "audio", write)
-    listing = src.scan_audio_listing(spark, path, [*AUDIO_ENDINGS, "txt"])
-    return listing.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("owner"), "length")
+    path = scratch_path(spark, "audio")
+    kinds = {"ogg": "s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0", "wav": "s_suppkey % 2 = 1 AND s_suppkey % 5 <> 0", "csv": "s_suppkey % 5 = 0"}
+    for ending, which in kinds.items():
+        some = files.where(which).repartition("s_suppkey")
+        some.write.mode("append").option("extension", ending).partitionBy("s_suppkey").csv(path)
+    listing = src.scan_audio_listing(spark, path, AUDIO_ENDINGS)
+    return listing.select(
+        F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("owner"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("ending"), "length"
+    )
 
 
 @query("write_recommendations_json")
