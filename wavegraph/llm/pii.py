@@ -153,13 +153,9 @@ def _search(docs: DataFrame, text: Column, kind: str, strict: bool) -> DataFrame
     return docs.withColumn(name, F.coalesce(out, empty)).drop("_m", "_ok", "_gap", "_step", "_block")
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_cand``: all candidate spans with the votes of the labelers.
-
-    A loose candidate that meets a strict span of any kind is no candidate of its own.
-    """
-    base = docs.columns
-    body = F.coalesce(F.col(text), F.lit(""))
+def _candidates(docs: DataFrame) -> DataFrame:
+    """(row, body) with a column ``_cand``; the caller's columns are inside ``row``, where no name is in the way."""
+    body = F.coalesce(F.col("body"), F.lit(""))
     for kind in KINDS:
         for strict in (True, False):
             docs = _search(docs, body, kind, strict)
@@ -168,7 +164,19 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     alone = F.filter(
         "_loose", lambda c: ~F.exists("_strict", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     )
-    return docs.select(*base, F.concat("_strict", F.when(F.size("_loose") > 0, alone).otherwise(F.col("_loose"))).alias("_cand"))
+    return docs.select("row", "body", F.concat("_strict", F.when(F.size("_loose") > 0, alone).otherwise(F.col("_loose"))).alias("_cand"))
+
+
+def _boxed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].cast("string").alias("body"))
+
+
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a column ``_cand`` (a column of that name is replaced): all candidate spans with the votes of the labelers.
+
+    A loose candidate that meets a strict span of any kind is no candidate of its own.
+    """
+    return _candidates(_boxed(docs, text)).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "_cand"), "_cand")
 
 
 LABELERS = ("form", "gaz", "ctx", "edge")
@@ -270,23 +278,23 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    base = docs.columns
-    model = fit(materialize(candidates(docs.select(F.col(text).alias("_text")), "_text").select("_cand").where(F.size("_cand") > 0)))
-    found = decide(candidates(docs.withColumnRenamed("spans", "_their_spans") if "spans" in base else docs, text), model)
+    # One search: the rows are written with their candidates, and read back for the model and for the new text.
+    searched = materialize(_candidates(_boxed(docs, text)))
+    found = decide(searched, fit(searched.select("_cand").where(F.size("_cand") > 0)))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.withColumn("_by_start", by_start)
+    found = found.withColumn("by_start", by_start)
     # The end of everything up to a span, and whether the span begins a new stretch.
-    upto = F.transform("_by_start", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_by_start", F.lit(1), i), lambda p: p["end"])), F.lit(0)))
-    found = found.withColumn("_upto", F.when(F.size("_by_start") > 0, upto).otherwise(F.array().cast("array<int>")))
+    upto = F.transform("by_start", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("by_start", F.lit(1), i), lambda p: p["end"])), F.lit(0)))
+    found = found.withColumn("upto", F.when(F.size("by_start") > 0, upto).otherwise(F.array().cast("array<int>")))
     names = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    ends = F.coalesce(F.array_max(F.transform("_by_start", lambda s: s["end"])), F.lit(0))
-    pieces = F.transform("_by_start", lambda s, i: F.when(
-        s["start"] >= F.get("_upto", i),
-        F.concat(F.substring(F.col(text), F.get("_upto", i) + 1, s["start"] - F.get("_upto", i)), F.get(names, s["kind"])),
+    ends = F.coalesce(F.array_max(F.transform("by_start", lambda s: s["end"])), F.lit(0))
+    pieces = F.transform("by_start", lambda s, i: F.when(
+        s["start"] >= F.get("upto", i),
+        F.concat(F.substring(F.col("body"), F.get("upto", i) + 1, s["start"] - F.get("upto", i)), F.get(names, s["kind"])),
     ).otherwise(F.lit("")))
-    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), ends + 1, F.length(text)))
-    changed = found.withColumn(text, F.when(F.size("_by_start") > 0, clean).otherwise(F.col(text)))
-    return changed.select(*(F.col("_their_spans").alias("spans") if c == "spans" else F.col(c) for c in base))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col("body"), ends + 1, F.length("body")))
+    changed = found.withColumn("body", F.when(F.size("by_start") > 0, clean).otherwise(F.col("body")))
+    return changed.select(*(F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
