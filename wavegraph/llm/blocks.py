@@ -20,6 +20,8 @@ from wavegraph.session import materialize
 
 BLOCK_BYTES = 2 << 20
 BUCKET_WORDS = 1_000_000
+# A block's number has the task in its upper bits; with the row inside the block it still fits 63 bits, for 2^27 tasks.
+TASK_BITS, ROW_BITS = 16, 20
 LAST = np.iinfo(np.int64).max
 SENT = "block long, bucket long, data binary"
 
@@ -39,8 +41,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, pa.Array]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pack texts into blocks."""
-    task = TaskContext.get().partitionId() << 24
-    number = 0
+    task = TaskContext.get().partitionId() << TASK_BITS
+    number = rows = 0
     held: list[tuple[np.ndarray, pa.Array]] = []
     size = 0
 
@@ -57,9 +59,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = texts.slice(start, stop - start)
             held.append((ids[start:stop], part))
             size += part.nbytes
-            if size >= BLOCK_BYTES:
+            rows += len(part)
+            if size >= BLOCK_BYTES or rows + batch.num_rows > 1 << ROW_BITS:
                 yield packed()
-                number, held, size = number + 1, [], 0
+                number, held, size, rows = number + 1, [], 0, 0
+                if number >> TASK_BITS:
+                    raise ValueError("a task has too much text; read the table in more partitions")
     if held:
         yield packed()
 
@@ -90,6 +95,12 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": [m.tobytes() for m in mine]})
 
 
+def few_at_once(df: DataFrame) -> DataFrame:
+    """``df``, to be handed to Python in batches of few rows, as each is a block; ``batched`` sets this back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    return df
+
+
 def packed_blocks(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
     """The texts in blocks, as a table of the shared folder, and how many buckets their hashes need.
 
@@ -97,7 +108,7 @@ def packed_blocks(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
     """
     plain = batched(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
     blocks = materialize(plain.mapInArrow(_blocks, "block long, rows long, chars long, blob binary"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    few_at_once(blocks)
     size = blocks.agg(F.sum("chars")).first()[0] or 0
     return blocks, max(1, -(-int(size) // (6 * BUCKET_WORDS)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Rows of text that a Python worker gets at once. Texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 500
 # Bytes of text that the numpy helpers look at together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 

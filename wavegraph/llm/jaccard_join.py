@@ -11,14 +11,14 @@ In a region the text of the least id is the pivot. Every other text is measured
 links most groups of near copies in a pass that is linear in the region. Where a region still holds
 texts of several groups, the pairs between groups remain, and of these only such as the triangle
 inequality leaves: distances to the pivot may differ by r at most, and a parity sketch of 512 bits,
-whose bits differ in no more places than the sets do, must be near enough. What remains is counted
-exactly.
+whose bits differ in no more places than the sets do, must be near enough. Linked sets share most of
+their regions, so a set may leave out some of its most frequent ones. What remains is counted exactly.
 
 Voronoi cells of sampled texts alone would not cut this space: texts that are not near copies share
 next to no shingles, so all pivots are at distance 1 and every window would hold every text.
 
-Scale: only parts that two texts have leave the blocks as rows; shingle sets are sent only for
-pairs that are measured. Equal sets are one point. Regions are joined by key, where Spark splits hot
+Scale: only parts that two texts have leave the blocks as rows; shingle sets are made and sent only
+for pairs that are measured. Equal sets are one point. Regions are joined by key, where Spark splits hot
 keys, and never gathered.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; a text
@@ -38,17 +38,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wavegraph.llm.blocks import LAST, packed_blocks, shared_hashes, unpack
+from wavegraph.llm.blocks import LAST, ROW_BITS, few_at_once, packed_blocks, shared_hashes, unpack
 from wavegraph.llm.common import NOT_BLANK, batched, mix, slices, split_words, table, windows, word_hashes
 from wavegraph.llm.components import components
 from wavegraph.operators.skew import small_side
-from wavegraph.session import materialize
+from wavegraph.session import materialize, settle
 
 SHINGLE = 4
 SIMILARITY = 85  # per cent
 CLASS_WIDTH = 1.5
 SPARE_PARTS = 3
 SKETCH_LONGS = 8
+# Sketches that are made together.
+SKETCHED = 1000
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _OTHER = np.uint64(0x14057B7EF767814F)
@@ -97,12 +99,14 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], hash[new]
 
 
-def part_keys(row: np.ndarray, hash: np.ndarray, n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) for every part of every set, in its class of sizes and, near the border, in the next.
+def part_keys(row: np.ndarray, hash: np.ndarray, n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row) for every part of every set, in its class of sizes and, near the border, in the next; and of every set,
+    in how many parts of a class it has shingles, at least.
 
     An empty part is a key only for the few sets that could agree with a linked one in empty parts alone.
     """
     keys, owners = [], []
+    least = np.full(len(n), 1 << 30)
     own = np.searchsorted(_BOUNDS, np.maximum(n, 1), side="right") - 1
     up = (n > 0) & (100 * n >= similarity * _BOUNDS[own + 1])
     for shift, member in ((0, n > 0), (1, up)):
@@ -123,34 +127,40 @@ def part_keys(row: np.ndarray, hash: np.ndarray, n: np.ndarray, similarity: int)
         number = np.arange(offset[-1]) - offset[:-1][owner]
         key = mix(content + mix((kind[owner] << 40).astype(np.uint64) + number.astype(np.uint64) + _OTHER))
         full = np.bincount(owner, weights=filled, minlength=len(n)).astype(np.int64)
+        least[member] = np.minimum(least, full)[member]
         partner = np.minimum(largest, 100 * n // similarity)
         doubtful = full <= most_differ(n + partner, similarity)
         used = filled | doubtful[owner]
         keys.append(key[used] | np.uint64(1))
         owners.append(owner[used])
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys), np.concatenate(owners), least
 
 
 def sketches(row: np.ndarray, hash: np.ndarray, count: int) -> np.ndarray:
-    """Of every set, which of 512 buckets of the hash hold an odd number of its shingles."""
+    """Of every set, which of 512 buckets of the hash hold an odd number of its shingles; ``row`` ascends."""
     bits = SKETCH_LONGS * 64
-    slot = row * bits + (mix(hash ^ _OTHER) >> np.uint64(55)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=count * bits) & 1).astype(np.uint8).reshape(count, bits)
-    return np.packbits(odd, axis=1).view(np.int64).reshape(count, SKETCH_LONGS)
+    place = (mix(hash ^ _OTHER) >> np.uint64(55)).astype(np.int64)
+    out = np.zeros((count, SKETCH_LONGS), np.int64)
+    for first in range(0, count, SKETCHED):
+        size = min(SKETCHED, count - first)
+        start, stop = np.searchsorted(row, (first, first + size))
+        slot = (row[start:stop] - first) * bits + place[start:stop]
+        odd = (np.bincount(slot, minlength=size * bits) & 1).astype(np.uint8).reshape(size, bits)
+        out[first : first + size] = np.packbits(odd, axis=1).view(np.int64)
+    return out
 
 
-_POINT = "row long, id long, digest binary, n long, node string, sketch array<long>, regions array<long>, shingles binary"
+_POINT = "row long, id long, digest binary, n long, full long, node string, sketch array<long>, regions array<long>"
 
 
-def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -> DataFrame:
-    """A row per text: digest (MD5 of the text), n (shingles), node (a name of the set), and, if any region has two texts, its regions and shingles."""
+def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """A row per text: digest (MD5 of the text), n (shingles), node (a name of the set), and, if any region has two texts, its regions;
+    and the blocks, which hold the texts."""
     blocks, buckets = packed_blocks(docs, id, text)
 
     def keys(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         row, hash = shingle_sets(texts, shingle)
-        return part_keys(row, hash, np.bincount(row, minlength=len(ids)), similarity)
-
-    shared = materialize(shared_hashes(blocks, buckets, keys))
+        return part_keys(row, hash, np.bincount(row, minlength=len(ids)), similarity)[:2]
 
     def build(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -158,7 +168,7 @@ def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -
             ids, texts = unpack(blob)
             row, hash = shingle_sets(texts, shingle)
             n = np.bincount(row, minlength=len(ids))
-            found, owner = part_keys(row, hash, n, similarity)
+            found, owner, full = part_keys(row, hash, n, similarity)
             known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d, np.uint64) for d in right["data"])])
             use = np.isin(found, known)
             found, owner = found[use].view(np.int64), owner[use]
@@ -172,25 +182,48 @@ def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -
                 live = len(regions[k]) > 0
                 names = "".join(f"{int(s[k]):016x}" for s in sums)
                 out.append((
-                    (int(number) << 24) + k, None if ident == LAST else ident, hashlib.md5(body.as_buffer()).digest(), int(n[k]), names if live else None,
+                    (int(number) << ROW_BITS) + k, None if ident == LAST else ident, hashlib.md5(body.as_buffer()).digest(), int(n[k]), int(full[k]), names if live else None,
                     sketch[k] if live else None, regions[k] if live else None,
-                    hash[ends[k] : ends[k + 1]].tobytes() if live else None,
                 ))
-        frame = pd.DataFrame(out, columns=["row", "id", "digest", "n", "node", "sketch", "regions", "shingles"])
+        frame = pd.DataFrame(out, columns=["row", "id", "digest", "n", "full", "node", "sketch", "regions"])
         return frame.astype({"id": "Int64"})
 
-    made = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(build, _POINT))
+    def joined() -> DataFrame:
+        shared = materialize(shared_hashes(blocks, buckets, keys))
+        return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(build, _POINT)
+
+    made = settle(joined)
     batched(docs)
+    return made, blocks
+
+
+def _sets(blocks: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, shingles) of ``rows``: of the blocks that hold them, only their texts are taken apart."""
+    wanted = rows.groupBy(F.shiftright("row", ROW_BITS).alias("block")).agg(F.collect_set("row").alias("wanted"))
+    held = blocks.select("block", "blob").join(small_side(wanted, rows.count()), "block").select("blob", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                wanted = np.sort(np.array(wanted))
+                texts = unpack(blob.as_py())[1].take(pa.array(wanted & ((1 << ROW_BITS) - 1)))
+                row, hash = shingle_sets(texts, shingle)
+                parts = np.split(hash, np.searchsorted(row, np.arange(1, len(wanted))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wanted), pa.array([p.tobytes() for p in parts], pa.binary())], names=["row", "shingles"]
+                )
+
+    made = materialize(few_at_once(held).mapInArrow(run, "row long, shingles binary"))
+    batched(made)
     return made
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
     """(a, b, an, bn, common): the sizes of the two sets of each pair, and how many shingles they share.
 
-    Only sets that occur in a pair are sent.
+    Only sets that occur in a pair are made and sent.
     """
-    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    sent = sets.join(small_side(involved, involved.count()), "row", "left_semi")
+    sent = _sets(blocks, materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()), shingle)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +243,14 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(batched(joined.select("a", "b", "x", "y")).mapInArrow(count, "a long, b long, an long, bn long, common long"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one group by ``roots``."""
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(named, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.where("a_root <> b_root").drop("a_root", "b_root")
+
+
 def _near(similarity: int, left: str = "", right: str = "p_") -> str:
     """SQL: the sizes and the sketches allow the two sets to be linked."""
     differ = " + ".join(f"bit_count({left}sketch[{k}] ^ {right}sketch[{k}])" for k in range(SKETCH_LONGS))
@@ -231,13 +272,19 @@ def groups(
     once, with a < b.
     ``component_id`` is the least id of the texts that links reach; ``root`` tells groups apart, also without ids.
     """
-    all_points = points(docs, id, text, shingle, similarity)
+    all_points, blocks = points(docs, id, text, shingle, similarity)
     live = all_points.where(F.col("node").isNotNull())
     nodes = materialize(live.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = materialize(live.join(nodes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "sketch", "regions"))
-    sets = live.select("row", "shingles")
+    # Each shingle that only one of two linked sets has spoils one part at most. The other parts that hold shingles are regions
+    # of both, so linked sets share at least ``need`` regions; a set that has fewer is linked with no other set.
+    apart = 100 - similarity
+    need = F.expr(f"full - ({apart} * (n + 100 * n div {similarity})) div {200 - apart}")
+    reps = materialize(
+        live.join(nodes.select(F.col("rep").alias("row")), "row", "left_semi")
+        .withColumn("need", need).where("size(regions) >= need").select("row", "n", "need", "sketch", "regions")
+    )
     rows = reps.select("row", F.explode("regions").alias("region"))
-    pivots = rows.groupBy("region").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    pivots = rows.groupBy("region").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1")
     placed = materialize(rows.join(pivots, "region"))
     facts = reps.select("row", "n", "sketch")
     of_pivot = facts.select(F.col("row").alias("pivot"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
@@ -252,20 +299,38 @@ def groups(
             F.col("common") * 100 >= F.lit(similarity) * (F.col("an") + F.col("bn") - F.col("common"))
         ).select("a", "b", "common")
 
-    from_pivot = _measured(star, sets)
-    first = materialize(linked(from_pivot))
-    roots = components(first)
+    if whole:
+        from_pivot = _measured(star, blocks, shingle)
+        first = materialize(linked(from_pivot))
+        roots = components(first)
+    else:
+        # Each text against one pivot first; then only what is not in its pivot's group by that.
+        nearest = star.groupBy("a").agg(F.min_by(F.struct("b", "n", "p_n"), "b").alias("s")).select("a", "s.*")
+        from_pivot = _measured(nearest, blocks, shingle)
+        first = linked(from_pivot)
+        roots = components(first)
+        open_pairs = _apart(star.join(nearest.select("a", "b"), ["a", "b"], "left_anti"), roots)
+        again = _measured(materialize(open_pairs), blocks, shingle)
+        from_pivot = from_pivot.unionByName(again)
+        first = materialize(linked(from_pivot))
+        roots = components(first)
     # What the pivots leave: regions with texts of several groups, and the pairs between the groups.
     grouped = placed.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = grouped.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.lit(whole) | F.expr("lo < hi")).select("region")
     distance = from_pivot.select(
         F.col("a").alias("row"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("far")
     )
+    # Regions that are not here are those where one of the two is the pivot, or where all are in one group. With the ``need`` - 1
+    # most frequent regions of a set left out, two linked sets still meet, in the rarest region that they share.
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("many"), "region"))
     left = (
-        grouped.where("row != pivot").join(mixed, "region", "left_semi").join(distance, ["row", "pivot"], "left").join(facts, "row")
+        grouped.where("row != pivot").join(mixed, "region", "left_semi").select("region", "row", "pivot", "root", "many")
+        .withColumn("place", place).join(reps.select("row", "n", "need", "sketch"), "row").where("place >= need")
+        .join(distance, ["row", "pivot"], "left")
     )
-    left = materialize(left.select("region", "row", "root", "n", "sketch", "far"))
-    right = left.select(F.col("region").alias("p_region"), *(F.col(c).alias(f"p_{c}") for c in ("row", "root", "n", "sketch", "far")))
+    carried = ("row", "root", "n", "sketch", "far")
+    left = materialize(left.select("region", *carried))
+    right = left.select(F.col("region").alias("p_region"), *(F.col(c).alias(f"p_{c}") for c in carried))
     radius = (100 - similarity) / 100 + 1e-9
     test = (
         f"region = p_region AND row < p_row AND {'true' if whole else 'root != p_root'} AND {_near(similarity)} "
@@ -275,7 +340,7 @@ def groups(
     if whole:  # a pivot has the least row of its region
         first = first.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")
         between = between.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    second = linked(_measured(materialize(between), sets))
+    second = linked(_measured(materialize(between), blocks, shingle))
     links = materialize(first.unionByName(second))
     roots = components(links)
     rooted = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -295,7 +360,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
 
     Rows are told apart by id and text, so rows of one id may lie in several groups.
     """
-    found = materialize(groups(docs, id, text, **options)[0])
+    found = settle(lambda: groups(docs, id, text, **options)[0])
     digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
     def same(names: DataFrame) -> Column:
