@@ -301,7 +301,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = materialize(candidates(docs).select("doc_id", "_cand"))
     judged = decide(found, fit(found))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["strict"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        # A second parameter of the lambda, be it one with a default, would be the element's index.
+        return F.size(F.filter("spans", lambda s: s["strict"] & (s["kind"] == kind))).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return judged.select(
         "doc_id", *counts, F.sha2(_listed(F.filter("spans", lambda s: s["strict"])), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
