@@ -51,6 +51,8 @@ SPARE_PARTS = 3
 SKETCH_LONGS = 8
 # Sketches that are made together.
 SKETCHED = 1000
+# How often regions of several groups are tried with another pivot before the pairs between their groups are.
+TURNS = 4
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _OTHER = np.uint64(0x14057B7EF767814F)
@@ -251,6 +253,27 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a_root <> b_root").drop("a_root", "b_root")
 
 
+def _rooted(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``placed`` with the group of each row by ``roots``; a row without links is a group."""
+    return placed.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def _other_pivots(placed: DataFrame, roots: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
+    """(a, b): texts in regions of several groups, each with one pivot ``b`` of another group that it may be linked with.
+
+    Every such region takes another text as its pivot in every turn, so there are no more pairs than rows of regions.
+    """
+    grouped = _rooted(placed.select("region", "row"), roots)
+    chance = F.xxhash64("row", "region", F.lit(turn))
+    pivots = grouped.groupBy("region").agg(
+        F.min_by(F.struct("row", "root"), chance).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    ).where("lo < hi").select("region", F.col("p.row").alias("b"), F.col("p.root").alias("b_root"))
+    pairs = grouped.join(pivots, "region").where("root <> b_root").select(F.col("row").alias("a"), "b").distinct()
+    of_b = facts.select(F.col("row").alias("b"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
+    near = pairs.join(facts.withColumnRenamed("row", "a"), "a").join(of_b, "b").where(_near(similarity))
+    return near.groupBy("a").agg(F.min("b").alias("b"))
+
+
 def _near(similarity: int, left: str = "", right: str = "p_") -> str:
     """SQL: the sizes and the sketches allow the two sets to be linked."""
     differ = " + ".join(f"bit_count({left}sketch[{k}] ^ {right}sketch[{k}])" for k in range(SKETCH_LONGS))
@@ -314,8 +337,16 @@ def groups(
         from_pivot = from_pivot.unionByName(again)
         first = materialize(linked(from_pivot))
         roots = components(first)
+        # A group may hold texts that are linked with each other and not with the pivots so far. Other pivots join them, text by text.
+        for turn in range(TURNS):
+            found = materialize(linked(_measured(materialize(_other_pivots(placed, roots, facts, similarity, turn)), blocks, shingle)))
+            if found.isEmpty():
+                break
+            first = first.unionByName(found)
+            roots = components(first)
+        first = materialize(first)
     # What the pivots leave: regions with texts of several groups, and the pairs between the groups.
-    grouped = placed.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    grouped = _rooted(placed, roots)
     mixed = grouped.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.lit(whole) | F.expr("lo < hi")).select("region")
     distance = from_pivot.select(
         F.col("a").alias("row"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("far")
