@@ -9,6 +9,7 @@ node are two different neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,6 @@ class Graph:
     released_on: DataFrame
     produced_by: DataFrame
     _hot: dict = field(default_factory=dict, repr=False)
-    _stored: dict = field(default_factory=dict, repr=False)
 
     def hot(self, edges: str, key: str) -> list:
         """The hot values of ``key`` in the named edge set, looked up once."""
@@ -46,27 +46,15 @@ class Graph:
             self._hot[edges] = hot_keys(frame, *frame.columns)
         return self._hot[edges][key]
 
-    def stored(self, path: str) -> Graph:
-        """Write the edges and what follows from them below ``path``, and read them from there."""
-        spark = self.contributed_to.sparkSession
-
-        def kept(name: str, frame: DataFrame) -> DataFrame:
-            frame.write.mode("overwrite").parquet(f"{path}/{name}")
-            return spark.read.schema(frame.schema).parquet(f"{path}/{name}")
-
-        edges = Graph(*(kept(name, getattr(self, name)) for name in ("contributed_to", "released_on", "produced_by")))
-        edges._stored["facts"] = kept("release_facts", edges.release_facts())
-        for name in _HUBS:
-            edges._stored[name] = kept(f"{name}_hubs", edges.hub_edges(name))
-        return edges
+    def stored(self, path: str) -> StoredGraph:
+        """The graph with its edges and what follows from them below ``path``."""
+        return StoredGraph(self, path)
 
     def release_facts(self) -> DataFrame:
         """(release_id, sole, contributors, labels, label_idf) of releases with contributors or labels.
 
         ``sole`` is the only contributor, null if there are several; ``label_idf`` the mean damped weight of the labels.
         """
-        if "facts" in self._stored:
-            return self._stored["facts"]
         people = self.contributed_to.groupBy("release_id").agg(
             F.when(F.min("artist_id") == F.max("artist_id"), F.min("artist_id")).alias("sole"), F.count(F.lit(1)).alias("contributors")
         )
@@ -78,8 +66,6 @@ class Graph:
 
     def hub_edges(self, edges: str) -> DataFrame:
         """The named edges to releases with contributors, with the hub's degree and the release's ``sole`` contributor."""
-        if edges in self._stored:
-            return self._stored[edges]
         hub, frame = _HUBS[edges], getattr(self, edges)
         known = self.release_facts().where("contributors > 0").select("release_id", "sole")
         counted = salted_join(degree(frame, hub), frame, hub, self.hot(edges, hub))
@@ -96,6 +82,43 @@ class Graph:
         return salted_join(few, frame, key, self.hot(edges, key))
 
 
+class StoredGraph(Graph):
+    """A graph whose tables are written below a folder when they are first asked for, and read from there."""
+
+    def __init__(self, graph: Graph, path: str) -> None:
+        self._graph, self._path, self._hot, self._kept = graph, path, {}, {}
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._kept:
+            frame, place = make(), f"{self._path}/{name}"
+            frame.write.mode("overwrite").parquet(place)
+            self._kept[name] = frame.sparkSession.read.schema(frame.schema).parquet(place)
+        return self._kept[name]
+
+    contributed_to = property(lambda self: self._table("contributed_to", lambda: self._graph.contributed_to))
+    released_on = property(lambda self: self._table("released_on", lambda: self._graph.released_on))
+    produced_by = property(lambda self: self._table("produced_by", lambda: self._graph.produced_by))
+
+    def release_facts(self) -> DataFrame:
+        return self._table("release_facts", super().release_facts)
+
+    def hub_edges(self, edges: str) -> DataFrame:
+        make = super().hub_edges
+        return self._table(f"{edges}_hubs", lambda: make(edges))
+
+    def write_all(self) -> None:
+        """Write every table that is not there yet."""
+        self.contributed_to, self.released_on, self.produced_by, self.release_facts()
+        for name in _HUBS:
+            self.hub_edges(name)
+
+
+def _counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    """``frame``, stored, and its length: what tells whether the table that it is joined to has to be shuffled."""
+    held = materialize(frame)
+    return held, held.count()
+
+
 def clean_edges(contributions: DataFrame, releases_on: DataFrame, labels: DataFrame, productions: DataFrame) -> Graph:
     """Distinct edges without null or zero ids, and without the placeholder label."""
     named = labels.select(
@@ -126,19 +149,23 @@ def filter_degree(edges: DataFrame, node: str, max_degree: int | None) -> DataFr
 
 def sources_of(graph: Graph, seeds: DataFrame) -> DataFrame:
     """(artist_id, seeds): the contributors of the seed releases and the number of seeds of each."""
-    edges = graph.hop(seeds.select("release_id").distinct(), "contributed_to", "release_id")
+    few, rows = _counted(seeds.select("release_id").distinct())
+    edges = graph.hop(few, "contributed_to", "release_id", rows)
     return edges.groupBy("artist_id").agg(F.count(F.lit(1)).alias("seeds"))
 
 
 def first_artists(graph: Graph, seeds: DataFrame) -> DataFrame:
     """(artist_id): the first contributor of each seed release."""
-    edges = graph.hop(seeds.select("release_id").distinct(), "contributed_to", "release_id")
+    few, rows = _counted(seeds.select("release_id").distinct())
+    edges = graph.hop(few, "contributed_to", "release_id", rows)
     return edges.groupBy("release_id").agg(F.min("artist_id").alias("artist_id")).select("artist_id").distinct()
 
 
 def own_releases(graph: Graph, sources: DataFrame, rows: int | None = None) -> DataFrame:
     """(source_id, release_id): the sources' own releases; ``rows`` is the number of sources, where that is known."""
     few = sources.select("artist_id").distinct()
+    if rows is None:
+        few, rows = _counted(few)
     return graph.hop(few, "contributed_to", "artist_id", rows).select(F.col("artist_id").alias("source_id"), "release_id")
 
 
@@ -152,6 +179,8 @@ _ELSEWHERE = "lo <> hi OR release_id <> lo"
 
 
 def _met(graph: Graph, own: DataFrame, rows: int | None = None) -> DataFrame:
+    if rows is None:
+        own, rows = _counted(own)
     met = graph.hop(own, "contributed_to", "release_id", rows).withColumnRenamed("artist_id", "other_id")
     return _via(met.where("other_id <> source_id"), "other_id")
 
@@ -187,10 +216,7 @@ def _reach_people(graph: Graph, own: DataFrame, rows: int | None = None) -> Data
     ``elsewhere`` tells if one of them leads there from another release than itself. One
     expansion serves the three hops through people.
     """
-    others = _met(graph, own, rows).withColumnRenamed("other_id", "artist_id")
-    if rows is not None:
-        others = materialize(others)
-        rows = others.count()
+    others, rows = _counted(_met(graph, own, rows).withColumnRenamed("other_id", "artist_id"))
     reached = graph.hop(others, "contributed_to", "artist_id", rows)
     return reached.groupBy("source_id", "release_id").agg(F.max(F.expr(_ELSEWHERE)).alias("elsewhere"))
 
@@ -225,10 +251,12 @@ def _below(edges: DataFrame, max_degree: int | None) -> DataFrame:
     return edges if max_degree is None else edges.where(F.col("degree") < max_degree)
 
 
-def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int | None) -> DataFrame:
+def _hub_rows(graph: Graph, own: DataFrame, edges: str, hub: str, max_degree: int | None, rows: int | None = None) -> DataFrame:
     """One row per source, hub (below ``max_degree``, if given) and other release there that someone else worked on."""
-    hubs = _hubs(graph, own, edges, hub)
-    reached = graph.join(hubs, _below(graph.hub_edges(edges), max_degree), edges, hub)
+    if rows is None:
+        own, rows = _counted(own)
+    hubs, rows = _counted(_hubs(graph, own, edges, hub, rows))
+    reached = graph.join(hubs, _below(graph.hub_edges(edges), max_degree), edges, hub, rows)
     kept = reached.where(_ELSEWHERE).where("sole IS NULL OR sole <> source_id")
     return _row(kept, inv_log_degree(F.col("degree")), 2)
 
@@ -288,12 +316,12 @@ def _people_rows(reach: DataFrame, elsewhere: list, always: list) -> DataFrame:
 
 def all_hops(graph: Graph, sources: DataFrame, max_degree: int | None = None) -> DataFrame:
     """The six hop queries, one after the other, repeats kept. The sources' own releases are stored once."""
-    own = materialize(own_releases(graph, sources))
-    people = _people_rows(_reach_people(graph, own), [_weighed(1.0, 1), _weighed(2.0, 2)], [_weighed(2.5, 3)])
+    own, rows = _counted(own_releases(graph, sources))
+    people = _people_rows(_reach_people(graph, own, rows), [_weighed(1.0, 1), _weighed(2.0, 2)], [_weighed(2.5, 3)])
     return (
         people.unionByName(_row(_several(graph, own), F.lit(1.5), 1))
-        .unionByName(_hub_rows(graph, own, "released_on", "label_id", max_degree))
-        .unionByName(_hub_rows(graph, own, "produced_by", "producer_id", max_degree))
+        .unionByName(_hub_rows(graph, own, "released_on", "label_id", max_degree, rows))
+        .unionByName(_hub_rows(graph, own, "produced_by", "producer_id", max_degree, rows))
     )
 
 
