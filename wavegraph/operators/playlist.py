@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wavegraph.functions.ids import path_part
 from wavegraph.operators.listening import filter_rating, newest_rows
 from wavegraph.operators.ordering import LONG_GROUP, neighbours, number_rows
+from wavegraph.operators.skew import small_side
+from wavegraph.session import materialize
 
 # Endings of audio files.
 AUDIO_ENDINGS = ["mp3", "ogg", "m4a", "m5a", "flac", "aiff", "wav"]
@@ -119,17 +121,19 @@ def uniq_adjacent(lines: DataFrame, group: list[str], order: list[str], value: s
     return seen.where(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before", "_after")
 
 
-def playlist_file_match(titles: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Match wanted titles "artist - title" to the local files of the same release.
+# A release with more titles or files than this is matched by a join; the pairs of a shorter one are tried where it lies.
+LONG_RELEASE = 300
 
-    A file matches if its name starts with the full title; where no file does, if it starts with
-    the part after the dash. The names of files are cut at every place a title can end, so the match is an equi-join.
-    Gives (release, wanted, file) and, per release, (release, n_wanted, n_matched, complete).
-    """
-    part = F.trim(F.coalesce(F.get(F.split("wanted", "-", 2), F.lit(1)), F.lit("")))
+
+def _title_forms(wanted: Column) -> tuple[Column, Column]:
+    """The full title, and the part after the dash."""
+    return F.trim(wanted), F.trim(F.coalesce(F.get(F.split(wanted, "-", 2), F.lit(1)), F.lit("")))
+
+
+def _joined_pairs(titles: DataFrame, files: DataFrame) -> DataFrame:
+    """(release, wanted, file): the names of files are cut at every place a title can end, so the match is an equi-join."""
     keys = titles.select(
-        "release", "wanted",
-        F.posexplode(F.array(F.trim("wanted"), part)).alias("form", "prefix"),
+        "release", "wanted", F.posexplode(F.array(*_title_forms(F.col("wanted")))).alias("form", "prefix"),
     ).where("prefix <> ''")
     lengths = keys.groupBy("release").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     cut = (
@@ -140,10 +144,55 @@ def playlist_file_match(titles: DataFrame, files: DataFrame) -> tuple[DataFrame,
     )
     tried = keys.join(cut.distinct(), ["release", "prefix"])
     best = tried.groupBy("release", "wanted").agg(F.min("form").alias("form"))
-    pairs = tried.join(best, ["release", "wanted", "form"]).select("release", "wanted", "file").distinct()
-    wanted = titles.groupBy("release").agg(F.count(F.lit(1)).alias("n_wanted"))
-    matched = pairs.groupBy("release").agg(F.count(F.lit(1)).alias("n_matched"))
-    report = wanted.join(matched, "release", "left").fillna({"n_matched": 0})
+    return tried.join(best, ["release", "wanted", "form"]).select("release", "wanted", "file").distinct()
+
+
+def _matches(wanted: Column, files: Column) -> Column:
+    """(wanted, files[]) for every title: the files that start with it, or else those that start with its last part."""
+    def named(prefix: Column) -> Column:
+        return F.filter(files, lambda f: (prefix != "") & F.startswith(f, prefix))
+
+    def best(title: Column) -> Column:
+        whole, part = (named(prefix) for prefix in _title_forms(title))
+        return F.struct(title.alias("wanted"), F.when(F.size(whole) > 0, whole).otherwise(part).alias("files"))
+
+    return F.filter(F.transform(wanted, best), lambda m: F.size(m["files"]) > 0)
+
+
+def playlist_file_match(titles: DataFrame, files: DataFrame, long_release: int = LONG_RELEASE) -> tuple[DataFrame, DataFrame]:
+    """Match wanted titles "artist - title" to the local files of the same release.
+
+    A file matches if its name starts with the full title; where no file does, if it starts with
+    the part after the dash. Titles and files of a release meet in one grouping; a release of very many of either is joined.
+    Gives (release, wanted, file) and, per release, (release, n_wanted, n_matched, complete).
+    """
+    no_text = F.lit(None).cast("string")
+    both = titles.select("release", "wanted", no_text.alias("file"), F.lit(1).alias("asked")).unionByName(
+        files.select("release", no_text.alias("wanted"), "file", F.lit(None).cast("int").alias("asked"))
+    )
+    # Without a release nothing matches, and a release may have any number of rows.
+    placed = both.where("release IS NOT NULL")
+    counts = placed.groupBy("release").agg(F.count("asked").alias("t"), F.count("file").alias("f"))
+    long = materialize(counts.where(F.greatest("t", "f") > long_release).select("release"))
+    many = long.count()
+    if many:
+        long = small_side(long, many)
+        placed = placed.join(long, "release", "left_anti")
+    found = placed.groupBy("release").agg(
+        F.collect_set("wanted").alias("wanted"), F.collect_set("file").alias("files"), F.count("asked").alias("n_wanted")
+    ).select("release", "n_wanted", _matches(F.col("wanted"), F.col("files")).alias("matches"))
+    pairs = found.select("release", F.explode("matches").alias("m")).select("release", "m.wanted", F.explode("m.files").alias("file"))
+    matched = F.aggregate("matches", F.lit(0).cast("bigint"), lambda n, m: n + F.size(m["files"]))
+    report = found.where("n_wanted > 0").select("release", "n_wanted", matched.alias("n_matched"))
+    nowhere = titles.where("release IS NULL").groupBy("release").agg(F.count(F.lit(1)).alias("n_wanted"))
+    report = report.unionByName(nowhere.withColumn("n_matched", F.lit(0).cast("bigint")))
+    if many:
+        some = titles.join(long, "release", "left_semi")
+        joined = materialize(_joined_pairs(some, files.join(long, "release", "left_semi")))
+        wanted = some.groupBy("release").agg(F.count(F.lit(1)).alias("n_wanted"))
+        counted = joined.groupBy("release").agg(F.count(F.lit(1)).alias("n_matched"))
+        report = report.unionByName(wanted.join(counted, "release", "left").fillna({"n_matched": 0}))
+        pairs = pairs.unionByName(joined)
     return pairs, report.withColumn("complete", F.col("n_wanted") == F.col("n_matched"))
 
 

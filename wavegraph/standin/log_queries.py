@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wavegraph.functions import ids, text
 from wavegraph.functions.weights import tag_score
 from wavegraph.operators import catalog, listening, ordering, playlist
+from wavegraph.session import materialize
 from wavegraph.standin import tables as t
 from wavegraph.standin.graph_queries import _PREF, match_state
 from wavegraph.standin.registry import query
@@ -374,12 +375,18 @@ _WANTED = {
 
 
 def _titles(spark, sf):
-    wanted = F.when(F.col("size") > 20000, F.regexp_replace("track", r"-[0-9]+.mp3", "")).otherwise(
-        F.concat(F.lit("x - "), "track")
+    # A release's files are together once they have met their release; grouped by its number they stay where they are.
+    dear = F.col("size") > 20000
+    files = t.audio(spark, sf, "release_id").groupBy("release_id", "release", "track").agg(
+        F.max(dear).alias("dear"), F.max(~F.coalesce(dear, F.lit(False))).alias("cheap")
     )
-    titles = t.audio(spark, sf).select("release", wanted.alias("wanted")).distinct()
-    files = t.audio(spark, sf).select("release", F.col("track").alias("file")).distinct()
-    return titles, files
+    files = materialize(files.select("release", F.col("track").alias("file"), "dear", "cheap"))
+    whole = F.when(F.coalesce("dear", F.lit(False)), F.array(F.regexp_replace("file", r"-[0-9]+.mp3", "")))
+    part = F.when(F.col("cheap"), F.array(F.concat(F.lit("x - "), "file")))
+    none = F.array().cast("array<string>")
+    wanted = F.concat(F.coalesce(whole, none), F.coalesce(part, none))
+    titles = files.select("release", F.explode(wanted).alias("wanted")).distinct()
+    return materialize(titles), files.select("release", "file")
 
 
 @query("playlist_file_match", """SELECT release, n_wanted, coalesce(n_matched, 0) AS n_matched,
