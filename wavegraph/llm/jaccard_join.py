@@ -9,7 +9,8 @@ regions of both (the boundary windows).
 
 In a region the text of the least id is the pivot. Every other text is measured against it, which
 links most groups of near copies in a pass that is linear in the region. Where a region still holds
-texts of several groups, the pairs between groups remain, and of these only such as the triangle
+texts of several groups, other texts take the pivot's place a few times, each text measured against one of them. Then the
+pairs between groups remain, and of these only such as the triangle
 inequality leaves: distances to the pivot may differ by r at most, and a parity sketch of 512 bits,
 whose bits differ in no more places than the sets do, must be near enough. Linked sets share most of
 their regions, so a set may leave out some of its most frequent ones. What remains is counted exactly.
