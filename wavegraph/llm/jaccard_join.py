@@ -54,6 +54,8 @@ SKETCH_LONGS = 8
 SKETCHED = 1000
 # How often regions of several groups are tried with another pivot before the pairs between their groups are.
 TURNS = 4
+# The pairs of a region of no more texts are few, so it is not tried again.
+LONG_REGION = 64
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _OTHER = np.uint64(0x14057B7EF767814F)
@@ -262,17 +264,17 @@ def _rooted(placed: DataFrame, roots: DataFrame) -> DataFrame:
 def _other_pivots(placed: DataFrame, roots: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
     """(a, b): texts in regions of several groups, each with one pivot ``b`` of another group that it may be linked with.
 
-    Every such region takes another text as its pivot in every turn, so there are no more pairs than rows of regions.
+    Every such region takes another text as its pivot in every turn, and a text is held against that of one of its regions.
     """
     grouped = _rooted(placed.select("region", "row"), roots)
     chance = F.xxhash64("row", "region", F.lit(turn))
     pivots = grouped.groupBy("region").agg(
         F.min_by(F.struct("row", "root"), chance).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")
     ).where("lo < hi").select("region", F.col("p.row").alias("b"), F.col("p.root").alias("b_root"))
-    pairs = grouped.join(pivots, "region").where("root <> b_root").select(F.col("row").alias("a"), "b").distinct()
+    apart = grouped.join(pivots, "region").where("root <> b_root")
+    pairs = apart.groupBy(F.col("row").alias("a")).agg(F.min_by("b", F.xxhash64("region", F.lit(turn))).alias("b"))
     of_b = facts.select(F.col("row").alias("b"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
-    near = pairs.join(facts.withColumnRenamed("row", "a"), "a").join(of_b, "b").where(_near(similarity))
-    return near.groupBy("a").agg(F.min("b").alias("b"))
+    return pairs.join(facts.withColumnRenamed("row", "a"), "a").join(of_b, "b").where(_near(similarity)).select("a", "b")
 
 
 def _near(similarity: int, left: str = "", right: str = "p_") -> str:
@@ -339,8 +341,9 @@ def groups(
         first = materialize(linked(from_pivot))
         roots = components(first)
         # A group may hold texts that are linked with each other and not with the pivots so far. Other pivots join them, text by text.
+        long = placed.where(F.col("many") > LONG_REGION)
         for turn in range(TURNS):
-            found = materialize(linked(_measured(materialize(_other_pivots(placed, roots, facts, similarity, turn)), blocks, shingle)))
+            found = materialize(linked(_measured(materialize(_other_pivots(long, roots, facts, similarity, turn)), blocks, shingle)))
             if found.isEmpty():
                 break
             first = first.unionByName(found)
