@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegraph.llm.common import batched, mix, raw, slices
+from wavegraph.llm.common import batched, mix, raw, rows_at_once, slices
 from wavegraph.session import materialize
 
 BLOCK_BYTES = 2 << 20
@@ -96,9 +96,8 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def few_at_once(df: DataFrame) -> DataFrame:
-    """``df``, to be handed to Python in batches of few rows, as each is a block; ``batched`` sets this back."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return df
+    """``df``, to be read and handed to Python in batches of few rows, as each is a block; ``batched`` sets this back."""
+    return rows_at_once(df, 4)
 
 
 def packed_blocks(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:

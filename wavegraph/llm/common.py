@@ -21,12 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batched(df: DataFrame) -> DataFrame:
-    """``df``, to be handed to Python in batches that stay small even if every text is long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def rows_at_once(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be read and handed to Python in batches of so many rows.
+
+    Spark's reader holds a column of a batch in one array, which doubles as it grows: at its default of 4,096 rows, texts
+    or packed hashes make arrays of tens of megabytes in every task.
+    """
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        df.sparkSession.conf.set(name, str(rows))
     return df
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, to be read and handed to Python in batches that stay small even if every text is long."""
+    return rows_at_once(df, BATCH_ROWS)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegraph.llm.common import table
+from wavegraph.llm.common import batched, table
 from wavegraph.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -168,7 +168,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def _boxed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].cast("string").alias("body"))
+    return batched(docs).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].cast("string").alias("body"))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -279,7 +279,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Spans that overlap are replaced together, under the kind of the first.
     """
     # One search: the rows are written with their candidates, and read back for the model and for the new text.
-    searched = materialize(_candidates(_boxed(docs, text)))
+    # The text is written once, inside ``row``.
+    searched = materialize(_candidates(_boxed(docs, text)).drop("body")).withColumn("body", F.col("row")[text].cast("string"))
     found = decide(searched, fit(searched.select("_cand").where(F.size("_cand") > 0)))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     found = found.withColumn("by_start", by_start)
