@@ -170,3 +170,27 @@ def test_m3u_over_many_splits(spark, tmp_path):
         finally:
             spark.conf.set(key, before)
         assert sorted((r["list"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in rows) == sorted(want)
+
+
+def test_the_cover_is_that_of_the_art_block(spark):
+    popup = '<a class="popupImage" href="https://i.example/%s">'
+    cases = {
+        # a popup before the block is no cover
+        popup % "shirt.png" + '\n<div id="tralbumArt">\n' + popup % "cover.jpg": "https://i.example/cover.jpg",
+        # the address may stand before the class, or in the popup's content
+        '<div id="tralbumArt">\n<a href="https://i.example/a.png" class="popupImage">': "https://i.example/a.png",
+        '<div id="tralbumArt">\n<a class="popupImage"><img src="https://i.example/b.jpg"></a>': "https://i.example/b.jpg",
+        # four lines after the block's name belong to it, a fifth does not, unless the name comes again
+        '<div id="tralbumArt">\n\n\n\n' + popup % "c.jpg": "https://i.example/c.jpg",
+        '<div id="tralbumArt">\n\n\n\n\n' + popup % "d.jpg": None,
+        'tralbumArt\n\n\ntralbumArt\n\n\n' + popup % "e.jpg": "https://i.example/e.jpg",
+        # every line of the block counts
+        "tralbumArt" + popup % "f.jpg" + "\n" + popup % "g.png": "https://i.example/f.jpg\nhttps://i.example/g.png",
+        'tralbumArt\n<a class="popupImage"\nhref="https://i.example/l.jpg">': "https://i.example/l.jpg",
+        # on one line, the popup's own address comes first
+        '<img src="https://i.example/h.png"><div id="tralbumArt">' + popup % "i.jpg" + '<img src="https://i.example/j.png">': "https://i.example/i.jpg",
+        popup % "k.jpg": None, "": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)) + [(99, None)], "page_id int, html string")
+    got = {r.page_id: r.art for r in rows.select("page_id", pages.art_url(F.col("html")).alias("art")).collect()}
+    assert got == dict(enumerate(cases.values())) | {99: None}
