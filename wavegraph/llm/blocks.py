@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +70,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def by_bucket(block: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[dict]:
-    """Rows (block, bucket, packed columns); the columns come sorted, and stay so in a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield {"block": block, "bucket": int(bucket[part[0]]), "data": b"".join(c[part].tobytes() for c in columns)}
+def by_bucket(block: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Rows (block, bucket, packed columns); the columns come sorted, and stay so in a bucket.
+
+    A column of ``planes`` is packed plane by plane.
+    """
+    if not len(bucket):
+        return
+    # Numbers of 16 bits are sorted by counting.
+    short = bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket
+    order = np.argsort(short, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+        yield block, int(bucket[start]), b"".join(c[start:stop].T.tobytes() for c in columns)
+
+
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, a row each. By planes, those that are zero in all numbers take next to no room in a shuffle."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8)
+
+
+def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``names`` are in ``known``."""
+    return pc.is_in(pa.array(names), value_set=pa.array(known)).to_numpy(zero_copy_only=False)
 
 
 _SENT_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
@@ -86,13 +104,24 @@ def bucket_of(hash: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of the hashes of a bucket, those that two texts have; to each block its own. The lowest bit says "twice in the block"."""
-    names = [np.frombuffer(d, np.uint64) for d in group["data"]]
-    every = np.sort(np.concatenate([n | np.uint64(1) for n in names]))
-    double = np.concatenate([n[(n & np.uint64(1)) == 1] for n in names])
-    shared = np.union1d(every[1:][every[1:] == every[:-1]], double)
-    mine = [n[np.isin(n | np.uint64(1), shared)] | np.uint64(1) for n in names]
-    return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": [m.tobytes() for m in mine]})
+    """Of the hashes of a bucket, those that two texts have; to each block its own. The lowest bit says "twice in the block".
+
+    The parts of all blocks are sorted together, once: a bucket has as many parts as there are blocks.
+    """
+    parts = [np.frombuffer(d, np.uint64) for d in group["data"]]
+    every = np.concatenate(parts)
+    names = every | np.uint64(1)
+    order = np.argsort(names)
+    new = np.ones(len(names), bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(names)))
+    shared = (count > 1) | (np.bitwise_or.reduceat(every[order] & np.uint64(1), start) == 1)
+    keep = np.empty(len(names), bool)
+    keep[order] = np.repeat(shared, count)
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    mine = [names[a:b][keep[a:b]].tobytes() for a, b in zip([0, *ends], ends)]
+    return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": mine})
 
 
 def few_at_once(df: DataFrame) -> DataFrame:
@@ -125,17 +154,16 @@ def shared_hashes(
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(3)):
                 names, row = hashes(*unpack(blob.as_py()))
                 names = names | np.uint64(1)
-                order = np.lexsort((row, names))
+                order = np.argsort(names)
                 names, row = names[order], row[order]
                 new = np.ones(len(names), bool)
                 new[1:] = names[1:] != names[:-1]
-                other = np.zeros(len(names), bool)
-                other[1:] = ~new[1:] & (row[1:] != row[:-1])
                 start = np.flatnonzero(new)
-                twice = np.logical_or.reduceat(other, start) if len(start) else other
+                if not len(start):
+                    continue
+                twice = np.maximum.reduceat(row, start) > np.minimum.reduceat(row, start)
                 bucket = bucket_of(names[start], buckets)
                 rows = list(by_bucket(number, bucket, (names[start] & ~np.uint64(1)) | twice.astype(np.uint64)))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
 
     return blocks.mapInArrow(send, SENT).groupBy("bucket").applyInPandas(_shared, SENT)

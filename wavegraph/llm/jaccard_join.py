@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wavegraph.llm.blocks import LAST, ROW_BITS, few_at_once, packed_blocks, shared_hashes, unpack
+from wavegraph.llm.blocks import LAST, ROW_BITS, among, few_at_once, packed_blocks, shared_hashes, unpack
 from wavegraph.llm.common import NOT_BLANK, batched, mix, slices, split_words, table, windows, word_hashes
 from wavegraph.llm.components import components
 from wavegraph.operators.skew import small_side
@@ -175,7 +175,7 @@ def points(docs: DataFrame, id: str, text: str, shingle: int, similarity: int) -
             n = np.bincount(row, minlength=len(ids))
             found, owner, full = part_keys(row, hash, n, similarity)
             known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d, np.uint64) for d in right["data"])])
-            use = np.isin(found, known)
+            use = among(found, known)
             found, owner = found[use].view(np.int64), owner[use]
             order = np.argsort(owner, kind="stable")
             regions = np.split(found[order], np.searchsorted(owner[order], np.arange(1, len(ids))))

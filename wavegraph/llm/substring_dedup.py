@@ -32,118 +32,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegraph.llm.blocks import LAST, SENT, bucket_of, by_bucket, packed_blocks, shared_hashes, unpack
+from wavegraph.llm.blocks import LAST, SENT, among, bucket_of, by_bucket, packed_blocks, planes, shared_hashes, unpack
 from wavegraph.llm.common import NOT_BLANK, batched, mix, slices, split_words, table, windows, word_hashes
-from wavegraph.session import materialize
+from wavegraph.session import materialize, settle
 
 WINDOW = 13
 ROUNDS = 5
 FIRST_ROUND = 3
 
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
-_FAR = 1 << 40
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
+# A multiplier for every round.
+_TURN = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+# Beyond any word of a block.
+_FAR = 1 << 29
 
 
 class Level:
-    """Symbols of one round, in order: names, the words they cover, and the words that their making depends on."""
+    """Symbols of one round, in order: names, how many words they cover, the words that their making depends on, and whether
+    they are the last of a text."""
 
-    def __init__(self, name, start, end, low, high, row) -> None:
-        self.name, self.start, self.end, self.low, self.high, self.row = name, start, end, low, high, row
+    def __init__(self, name, size, low, high, last) -> None:
+        self.name, self.size, self.low, self.high, self.last = name, size, low, high, last
 
     @classmethod
     def of_runs(cls, words: np.ndarray, row: np.ndarray) -> Level:
         """Runs of equal words. That a run ends depends on the words next to it."""
         change = np.ones(len(words), bool)
         change[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-        start = np.flatnonzero(change)
-        end = np.append(start[1:], len(words))
-        length = (end - start).astype(np.uint64)
-        name = np.where(length > 1, mix(words[start] + length * _PAIR), words[start])
-        return cls(name, start, end, start - 1, end + 1, row[start])
+        start = np.flatnonzero(change).astype(np.int32 if len(words) < 1 << 28 else np.int64)
+        end = np.append(start[1:], start.dtype.type(len(words)))
+        size = end - start
+        name = words[start]
+        long = np.flatnonzero(size > 1)
+        name[long] = mix(name[long] + size[long].astype(np.uint64) * _PAIR)
+        last = np.ones(len(start), bool)
+        last[:-1] = row[start[1:]] != row[start[:-1]]
+        return cls(name, size, start - 1, end + 1, last)
 
     def paired(self, round: int) -> Level:
         """The next round. A pair depends on its two symbols alone; a symbol that stays, on the neighbour it could have joined."""
-        left = (mix(self.name + np.uint64(round)) >> np.uint64(63)) == 0
-        has_next = np.zeros(len(left), bool)
-        has_next[:-1] = self.row[1:] == self.row[:-1]
-        joins = left & has_next
+        name, last = self.name, self.last
+        left = ((name ^ (name >> np.uint64(29))) * _TURN[round]) >> np.uint64(63) == 0
+        joins = left & ~last
         joins[:-1] &= ~left[1:]
         joined = np.zeros(len(left), bool)
         joined[1:] = joins[:-1]
-        name, end, low, high = self.name.copy(), self.end.copy(), self.low.copy(), self.high.copy()
-        at = np.flatnonzero(joins)
-        name[at] = mix(self.name[at] * _PAIR + mix(self.name[at + 1]) + np.uint64(round))
-        end[at] = self.end[at + 1]
-        low[at] = np.minimum(self.low[at], self.low[at + 1])
-        high[at] = np.maximum(self.high[at], self.high[at + 1])
-        alone = ~joins & ~joined
-        for side, step, near in ((left, 1, has_next), (~left, -1, np.roll(has_next, 1))):
-            at = np.flatnonzero(alone & side)
-            inner = near[at]
-            beside = np.where(inner, at + step, at)
-            low[at] = np.where(inner, np.minimum(self.low[at], self.low[beside]), -_FAR)
-            high[at] = np.where(inner, np.maximum(self.high[at], self.high[beside]), _FAR)
-        stay = ~joined
-        return Level(name[stay], self.start[stay], end[stay], low[stay], high[stay], self.row[stay])
+        first = np.ones(len(left), bool)
+        first[1:] = last[:-1]
+        # A left symbol looks to the next one, whether it joins it or not, and a right one that stays to the one before.
+        stay = np.flatnonzero(~joined)
+        side = left[stay]
+        none = np.where(side, last[stay], first[stay])
+        other = np.where(none, stay, np.where(side, stay + 1, stay - 1))
+        low, high = np.minimum(self.low[stay], self.low[other]), np.maximum(self.high[stay], self.high[other])
+        low[none], high[none] = -_FAR, _FAR
+        pair = np.flatnonzero(joins[stay])
+        at = stay[pair]
+        name, size, last = name[stay], self.size[stay], last[stay]
+        name[pair] = mix(self.name[at] * _PAIR + self.name[at + 1] * _OTHER + np.uint64(round))
+        size[pair] += self.size[at + 1]
+        last[pair] = self.last[at + 1]
+        return Level(name, size, low, high, last)
 
 
 def anchors(words: np.ndarray, row: np.ndarray, window: int, rounds: int = ROUNDS, first: int = FIRST_ROUND) -> np.ndarray:
-    """For every place, the name of the longest symbol that the window beginning there determines; 0 if there is none.
+    """For every place, a name of the longest symbol that the window beginning there determines; 0 if there is none.
 
-    Among equally long ones the largest name counts, so that equal windows choose alike.
+    Among equally long ones the largest name counts, so that equal windows choose alike: names have the size in their upper bits.
     """
     if not len(words):
         return np.zeros(0, np.uint64)
     level = Level.of_runs(words, row)
-    best_name = np.zeros(len(words), np.uint64)
-    best_size = np.zeros(len(words), np.int16)
+    # A symbol counts for a run of places. It is entered at two of a power of two, which cover the run, and handed down to the halves.
+    best = [np.zeros(len(words), np.uint64) for _ in range(window.bit_length())]
     for round in range(1, rounds + 1):
         level = level.paired(round)
         if round < first:
             continue
-        inside = level.high - level.low <= window
-        name, low, high = level.name[inside] | np.uint64(1), level.low[inside], level.high[inside]
-        size = (level.end - level.start)[inside].astype(np.int16)
-        order = np.lexsort((name, size))
-        name, low, high, size = name[order], low[order], high[order], size[order]
-        for shift in range(window):
-            place = high - window + shift
-            ok = (place <= low) & (place >= 0)
-            ok[ok] = (size[ok] > best_size[place[ok]]) | ((size[ok] == best_size[place[ok]]) & (name[ok] > best_name[place[ok]]))
-            # In ascending order, so that the last of several that fall on one place is the best of them.
-            best_size[place[ok]] = size[ok]
-            best_name[place[ok]] = name[ok]
-    return best_name
+        start, stop = np.maximum(level.high - window, 0), level.low + 1
+        inside = np.flatnonzero(start < stop)
+        start, stop = start[inside], stop[inside]
+        size = np.minimum(level.size[inside], 31).astype(np.uint64)
+        name = (size << np.uint64(59)) | (level.name[inside] >> np.uint64(5)) | np.uint64(1)
+        length = stop - start
+        for k, table in enumerate(best):
+            some = np.flatnonzero((length >> k) == 1)
+            np.maximum.at(table, start[some], name[some])
+            np.maximum.at(table, stop[some] - (1 << k), name[some])
+    for k in range(len(best) - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.maximum(best[k - 1], best[k], out=best[k - 1])
+        np.maximum(best[k - 1][half:], best[k][:-half], out=best[k - 1][half:])
+    return best[0]
 
 
 class _Block:
-    """The words of a block: two hashes of each, the row of each, and the windows."""
+    """The words of a block: a hash of each, the row of each, and the windows; to ``verify`` them, two hashes of each window and its owner."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int) -> None:
+    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int, verify: bool = True) -> None:
         self.ids, self.texts = ids, texts
         one, two, rows = [], [], []
         for start, stop in slices(self.texts):
             data, first, end, row = split_words(self.texts.slice(start, stop - start), NOT_BLANK, lower=False)
             one.append(word_hashes(data, first, end, 0))
-            two.append(word_hashes(data, first, end, 1))
+            if verify:
+                two.append(word_hashes(data, first, end, 1))
             rows.append(row + start)
-        self.words, second, self.row = np.concatenate(one), np.concatenate(two), np.concatenate(rows)
-        self.hash, self.place = windows(self.words, self.row, window)
-        self.check = (windows(second, self.row, window)[0] >> np.uint64(32)).astype(np.uint32)
-        self.owner = self.ids[self.row[self.place]]
-
-
-_WINDOW_TYPE = np.dtype([("hash", "<u8"), ("check", "<u4"), ("twice", "u1"), ("first", "<i8")])
+        self.words, self.row = np.concatenate(one), np.concatenate(rows)
+        if verify:
+            self.hash, self.place = windows(self.words, self.row, window)
+            self.check = (windows(np.concatenate(two), self.row, window)[0] >> np.uint64(32)).astype(np.uint32)
+            self.owner = self.ids[self.row[self.place]]
+        else:
+            self.place = np.flatnonzero(self.row[: max(0, len(self.row) - window + 1)] == self.row[window - 1 :])
+
+
+def _equal(hash: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows lie together, ascending by hash and check, and where each run of equal ones starts."""
+    order = np.argsort(hash)
+    twin = hash[order[1:]] == hash[order[:-1]]
+    differ = check[order[1:]] != check[order[:-1]]
+    if (twin & differ).any():
+        order = np.lexsort((check, hash))
+        twin = hash[order[1:]] == hash[order[:-1]]
+        differ = check[order[1:]] != check[order[:-1]]
+    new = np.ones(len(order), bool)
+    new[1:] = ~twin | differ
+    return order, np.flatnonzero(new)
 
 
 def _columns(data: bytes) -> tuple[np.ndarray, ...]:
-    """The four packed columns of ``_WINDOW_TYPE``, one after the other."""
+    """The four packed columns: hash, check, twice, and the planes of first."""
     n, at, out = len(data) // 21, 0, []
-    for kind in ("<u8", "<u4", "u1", "<i8"):
+    for kind in ("<u8", "<u4", "u1"):
         width = np.dtype(kind).itemsize
         out.append(np.frombuffer(data, kind, n, at))
         at += n * width
-    return tuple(out)
+    first = np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T
+    return *out, np.ascontiguousarray(first).view("<i8").reshape(n)
 
 
 def _first_texts(group: pd.DataFrame) -> pd.DataFrame:
@@ -151,17 +178,16 @@ def _first_texts(group: pd.DataFrame) -> pd.DataFrame:
     parts = [_columns(d) for d in group["data"]]
     sizes = [len(p[0]) for p in parts]
     hash, check, twice, first = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.lexsort((first, check, hash))
-    new = np.ones(len(order), bool)
-    new[1:] = (hash[order][1:] != hash[order][:-1]) | (check[order][1:] != check[order][:-1])
+    order, start = _equal(hash, check)
     least = np.empty(len(order), np.int64)
-    least[order] = first[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    if len(start):
+        least[order] = np.repeat(np.minimum.reduceat(first[order], start), np.diff(np.append(start, len(order))))
     keep = (least < first) | (twice == 1)
     out, at = [], 0
     for n in sizes:
         k = slice(at, at + n)
         mine = keep[k]
-        out.append(b"".join(c[k][mine].tobytes() for c in (hash, check, twice, least)))
+        out.append(b"".join(c[k][mine].T.tobytes() for c in (hash, check, twice, planes(least))))
         at += n
     return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": out})
 
@@ -171,38 +197,38 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     blocks, buckets = packed_blocks(docs, id, text)
 
     def symbols(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        block = _Block(ids, texts, window)
+        block = _Block(ids, texts, window, verify=False)
         names = anchors(block.words, block.row, window)[block.place]
         return names[names != 0], block.row[block.place][names != 0]
 
-    shared = materialize(shared_hashes(blocks, buckets, symbols))
-
     def candidates(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for number, blob in zip(left["block"], left["blob"]):
             block = _Block(*unpack(blob), window)
             names = anchors(block.words, block.row, window)[block.place]
             known = np.concatenate([np.zeros(1, np.uint64), *(np.frombuffer(d, np.uint64) for d in right["data"])])
-            used = np.isin(names, known)
+            used = among(names, known)
             hash, check, owner = block.hash[used], block.check[used], block.owner[used]
-            order = np.lexsort((owner, check, hash))
-            hash, check, owner = hash[order], check[order], owner[order]
-            new = np.ones(len(hash), bool)
-            new[1:] = (hash[1:] != hash[:-1]) | (check[1:] != check[:-1])
-            start = np.flatnonzero(new)
-            last = np.append(start[1:], len(hash)) - 1
-            twice = (owner[last] > owner[start]).astype(np.uint8) if len(start) else np.zeros(0, np.uint8)
-            rows += by_bucket(int(number), bucket_of(hash[start], buckets), hash[start], check[start], twice, owner[start])
+            order, start = _equal(hash, check)
+            if len(start):
+                hash, check, owner = hash[order[start]], check[order[start]], owner[order]
+                least = np.minimum.reduceat(owner, start)
+                twice = (np.maximum.reduceat(owner, start) > least).astype(np.uint8)
+                rows += by_bucket(int(number), bucket_of(hash, buckets), hash, check, twice, planes(least))
         return pd.DataFrame(rows, columns=["block", "bucket", "data"])
 
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(candidates, SENT)
-    repeated = materialize(sent.groupBy("bucket").applyInPandas(_first_texts, SENT))
+    def sent() -> DataFrame:
+        shared = materialize(shared_hashes(blocks, buckets, symbols))
+        return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(candidates, SENT)
+
+    # What was sent is stored, so that it is never on the disks together with all that led to it.
+    repeated = settle(lambda: settle(sent).groupBy("bucket").applyInPandas(_first_texts, SENT))
 
     def result(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         parts = [_columns(d) for d in right["data"]]
         known = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.uint32), (3, np.int64))]
-        order = np.lexsort((known[1], known[0]))
+        order = _equal(known[0], known[1])[0]
         hash, check, first = (k[order] for k in known)
         for blob in left["blob"]:
             block = _Block(*unpack(blob), window)
