@@ -54,6 +54,8 @@ SKETCH_LONGS = 8
 SKETCHED = 1000
 # How often regions of several groups are tried with another pivot before the pairs between their groups are.
 TURNS = 4
+# Near copies share many regions, so one of so many regions is tried in a turn.
+TRIED = 4
 # The pairs of a region of no more texts are few, so it is not tried again.
 LONG_REGION = 64
 
@@ -226,10 +228,8 @@ def _sets(blocks: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
 def _measured(pairs: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
     """(a, b, an, bn, common): the sizes of the two sets of each pair, and how many shingles they share.
 
-    Only sets that occur in a pair are made and sent.
+    Only sets that occur in a pair are made and sent, and they are deleted when the numbers are stored.
     """
-    sent = _sets(blocks, materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()), shingle)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -241,11 +241,15 @@ def _measured(pairs: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), batch.column(1), *map(pa.array, numbers)], names=["a", "b", "an", "bn", "common"]
             )
 
-    joined = (
-        pairs.select("a", "b").join(sent.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sent.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    )
-    return materialize(batched(joined.select("a", "b", "x", "y")).mapInArrow(count, "a long, b long, an long, bn long, common long"))
+    def counted() -> DataFrame:
+        sent = _sets(blocks, materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()), shingle)
+        joined = (
+            pairs.select("a", "b").join(sent.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sent.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+        )
+        return batched(joined.select("a", "b", "x", "y")).mapInArrow(count, "a long, b long, an long, bn long, common long")
+
+    return settle(counted)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -264,17 +268,17 @@ def _rooted(placed: DataFrame, roots: DataFrame) -> DataFrame:
 def _other_pivots(placed: DataFrame, roots: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
     """(a, b): texts in regions of several groups, each with one pivot ``b`` of another group that it may be linked with.
 
-    Every such region takes another text as its pivot in every turn, and a text is held against that of one of its regions.
+    Every such region takes another text as its pivot in every turn, and a text is held against one of those of its regions that are near it.
     """
     grouped = _rooted(placed.select("region", "row"), roots)
     chance = F.xxhash64("row", "region", F.lit(turn))
     pivots = grouped.groupBy("region").agg(
         F.min_by(F.struct("row", "root"), chance).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")
     ).where("lo < hi").select("region", F.col("p.row").alias("b"), F.col("p.root").alias("b_root"))
-    apart = grouped.join(pivots, "region").where("root <> b_root")
-    pairs = apart.groupBy(F.col("row").alias("a")).agg(F.min_by("b", F.xxhash64("region", F.lit(turn))).alias("b"))
+    apart = grouped.join(pivots, "region").where("root <> b_root").select(F.col("row").alias("a"), "b").distinct()
     of_b = facts.select(F.col("row").alias("b"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
-    return pairs.join(facts.withColumnRenamed("row", "a"), "a").join(of_b, "b").where(_near(similarity)).select("a", "b")
+    near = apart.join(facts.withColumnRenamed("row", "a"), "a").join(of_b, "b").where(_near(similarity))
+    return near.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b")).select("a", "b")
 
 
 def _near(similarity: int, left: str = "", right: str = "p_") -> str:
@@ -343,7 +347,8 @@ def groups(
         # A group may hold texts that are linked with each other and not with the pivots so far. Other pivots join them, text by text.
         long = placed.where(F.col("many") > LONG_REGION)
         for turn in range(TURNS):
-            found = materialize(linked(_measured(materialize(_other_pivots(long, roots, facts, similarity, turn)), blocks, shingle)))
+            tried = long.where(F.pmod(F.xxhash64("region", F.lit(turn)), F.lit(TRIED)) == 0)
+            found = materialize(linked(_measured(materialize(_other_pivots(tried, roots, facts, similarity, turn)), blocks, shingle)))
             if found.isEmpty():
                 break
             first = first.unionByName(found)
